@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+# Executors get these functions themselves, so this package need not be installed on them.
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
 #: A word is a run of characters other than space and the ASCII control blanks 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import host_rules, mixing, warc
 
 
 def queries() -> dict:
-    return {"op8_warc_transactions": warc.op8_warc_transactions}
+    return {
+        "op5_mix_sources": mixing.op5_mix_sources,
+        "op6_host_rules": host_rules.op6_host_rules,
+        "op8_warc_transactions": warc.op8_warc_transactions,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc_transactions": warc.OP8_SQL}
+    return {
+        "op5_mix_sources": mixing.mix_sql(),
+        "op6_host_rules": host_rules.OP6_SQL,
+        "op8_warc_transactions": warc.OP8_SQL,
+    }
