@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import host_rules, mixing, warc
+from . import host_rules, langid, mixing, quality_gbt, warc
 
 
 def queries() -> dict:
     return {
+        "op3_quality": quality_gbt.op3_quality,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_host_rules": host_rules.op6_host_rules,
         "op8_warc_transactions": warc.op8_warc_transactions,
+        "op10_language_id": langid.op10_language_id,
     }
 
 
