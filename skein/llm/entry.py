@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import host_rules, langid, mixing, quality_gbt, warc
+from . import host_rules, langid, mixing, quality_gbt, simhash, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_quality": quality_gbt.op3_quality,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_host_rules": host_rules.op6_host_rules,
+        "op7_simhash": simhash.op7_simhash,
         "op8_warc_transactions": warc.op8_warc_transactions,
         "op10_language_id": langid.op10_language_id,
     }
