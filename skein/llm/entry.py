@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import host_rules, langid, mixing, quality_gbt, simhash, warc
+from . import decontaminate, host_rules, langid, mixing, quality_gbt, simhash, token_attribution, warc
 
 
 def queries() -> dict:
     return {
+        "op2_token_attribution": token_attribution.op2_token_attribution,
         "op3_quality": quality_gbt.op3_quality,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_host_rules": host_rules.op6_host_rules,
         "op7_simhash": simhash.op7_simhash,
         "op8_warc_transactions": warc.op8_warc_transactions,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_language_id": langid.op10_language_id,
     }
 
