@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, host_rules, langid, mixing, quality_gbt, simhash, token_attribution, warc
+from . import decontaminate, host_rules, html_extract, langid, mixing, quality_gbt, simhash, token_attribution, warc
 
 
 def queries() -> dict:
     return {
+        "op1_main_text": html_extract.op1_main_text,
         "op2_token_attribution": token_attribution.op2_token_attribution,
         "op3_quality": quality_gbt.op3_quality,
         "op5_mix_sources": mixing.op5_mix_sources,
