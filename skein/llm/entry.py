@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, host_rules, html_extract, langid, mixing, quality_gbt, simhash, token_attribution, warc
+from . import decontaminate, host_rules, html_extract, langid, line_dedup, mixing, quality_gbt, simhash, token_attribution, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_main_text": html_extract.op1_main_text,
         "op2_token_attribution": token_attribution.op2_token_attribution,
         "op3_quality": quality_gbt.op3_quality,
+        "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_host_rules": host_rules.op6_host_rules,
         "op7_simhash": simhash.op7_simhash,

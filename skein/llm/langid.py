@@ -175,6 +175,21 @@ def identify(documents: DataFrame, net: ByteCNN) -> DataFrame:
     return map_rows(documents.select(*kept), make, schema)
 
 
+def keep_identified(documents: DataFrame, net: ByteCNN) -> DataFrame:
+    """documents without the rows whose text is null or has no letter; a null lang is set to the predicted one, other columns stay."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            found = [p for at in range(0, b.num_rows, 256) for p, _ in net.predict(b.column("text").slice(at, 256).to_pylist())]
+            i = b.schema.get_field_index("lang")
+            lang = [x if x is not None else p for x, p in zip(b.column("lang").to_pylist(), found, strict=True)]
+            b = b.set_column(i, b.schema.field(i), pa.array(lang, b.schema.field(i).type))
+            yield b.filter(pa.array([p != UND for p in found], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
     docs = load(spark, sf_dir, "documents")

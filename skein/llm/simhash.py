@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, load, map_rows
@@ -48,13 +48,13 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42, block: int = 1
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id and fingerprint f, as a signed long, of every document."""
+    """doc_id, text_hash and fingerprint f (signed longs) of every document."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def make():
-        return lambda rows: [(r["doc_id"], (x := fingerprint(r["text"])) - (x >> 63 << 64)) for r in rows]
+        return lambda rows: [(r["doc_id"], r["text_hash"], (x := fingerprint(r["text"])) - (x >> 63 << 64)) for r in rows]
 
-    return map_rows(documents.select("doc_id", "text"), make, f"doc_id {kind}, f long")
+    return map_rows(documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), make, f"doc_id {kind}, text_hash long, f long")
 
 
 def _remainders(words: np.ndarray) -> np.ndarray:
@@ -140,7 +140,7 @@ def linked(classes: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, radius: int = 2) -> DataFrame:
-    """doc_id, f, component_id and links of every document.
+    """doc_id, text_hash, f, component_id and links of every document.
 
     Documents whose fingerprints differ in at most radius bits are linked;
     component_id is the least doc_id reachable. links counts the other
@@ -157,8 +157,21 @@ def near_duplicates(documents: DataFrame, radius: int = 2) -> DataFrame:
     tied = classes.join(roots.join(degree, F.col("node") == F.col("g")), F.col("f") == F.col("node"), "left").select("f", "least", F.coalesce("root", "f").alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     tied = checkpointed(tied)
     whole = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = tied.join(whole, "root").select(F.col("f").alias("g"), "component_id", "links")
-    return docs.join(ids, F.col("f") == F.col("g")).select("doc_id", "f", "component_id", "links")
+    ids = tied.join(whole, "root").select(F.col("f").alias("g"), "root", "component_id", "links")
+    return docs.join(ids, F.col("f") == F.col("g")).select("doc_id", "text_hash", "f", "root", "component_id", "links")
+
+
+def keep_one(documents: DataFrame, radius: int = 2) -> DataFrame:
+    """One row of documents, with all its columns, of each group of near duplicates: that with the least doc_id, null first.
+
+    Rows alike in doc_id and text are in one group, and one of them stays.
+    """
+    groups = near_duplicates(documents, radius).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
+    ones = groups.select(F.col("one.doc_id").alias("__one_doc"), F.col("one.text_hash").alias("__one_hash"))
+    hashed = documents.withColumn("__hash", F.xxhash64("text"))
+    stay = hashed.join(ones, (F.col("__hash") == F.col("__one_hash")) & F.col("doc_id").eqNullSafe(F.col("__one_doc")))
+    again = F.row_number().over(Window.partitionBy("__hash", "doc_id").orderBy("__one_hash"))
+    return stay.withColumn("__again", again).filter("__again = 1").select(*documents.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
