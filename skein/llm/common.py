@@ -48,6 +48,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder as Parquet and read again: smaller than a checkpoint, and columns can be left unread."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterator[tuple] | list]], schema: str, chunk: int = 256) -> DataFrame:
     """Map rows through Arrow. make() runs once a task and gives a function from a list of row dicts to output tuples."""
     kind = _parse_datatype_string(schema)
