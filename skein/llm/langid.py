@@ -144,6 +144,9 @@ def train(documents: DataFrame, per_label: int = 500, windows: int = 3, length:
     at = [F.greatest(F.lit(1), F.floor((n - length) * (i / max(1, windows - 1))) + 1).cast("int") for i in range(windows)]
     cuts = F.array_distinct(F.array(*[F.substring(F.col("text"), a, F.lit(length)) for a in at]))
     rows = rows.select("lang", cuts.alias("cuts"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"))
+    # First within slices of a language, so that a language has 16 * per_label rows at most, however many documents.
+    within = F.row_number().over(Window.partitionBy("lang", "slice").orderBy("key", "cuts"))
+    rows = rows.withColumn("slice", F.substring("key", 32, 1)).withColumn("rank", within).filter(F.col("rank") <= per_label)
     first = F.row_number().over(Window.partitionBy("lang").orderBy("key", "cuts"))
     sample = rows.withColumn("rank", first).filter(F.col("rank") <= per_label).orderBy("lang", "rank").select("lang", "cuts").collect()
     labels = sorted({r["lang"] for r in sample})
