@@ -15,9 +15,9 @@ def rows():
     words = [f"word{i}" for i in range(900)]
     say = lambda n: " ".join(r.choices(words, k=n))
     out = [(i, "\n".join(say(r.randint(8, 40)) for _ in range(3)), "en" if i % 2 else "de", f"src{i % 4}") for i in range(60)]
-    base = say(150).split()
-    edits = (" ".join([*base[:k], "Other", *base[k + 1 :]]) for k in range(150))
-    base = " ".join(base)
+    own = say(300).split()
+    base = " ".join(own)
+    edits = (" ".join([*own[:k], "Other", *own[k + 1 :]]) for k in range(300))
     near = next(e for e in edits if bin(simhash.fingerprint(e) ^ simhash.fingerprint(base)).count("1") <= 2)
     out += [(100, base, "en", "src0"), (101, near, "en", "src1"), (102, base, "en", "src1")]
     out += [(200, f"{say(20)} {ITEM} {say(20)}", "en", "src2"), (300, None, "en", "src0"), (301, "123 --", "en", "src0"), (302, say(30), None, None), (303, "", "de", "src1")]
