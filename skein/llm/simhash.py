@@ -166,7 +166,12 @@ def keep_one(documents: DataFrame, radius: int = 2) -> DataFrame:
 
     Rows alike in doc_id and text are in one group, and one of them stays.
     """
-    groups = near_duplicates(documents, radius).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
+    return keep_least(documents, near_duplicates(documents, radius))
+
+
+def keep_least(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of documents of each root of found (doc_id, text_hash, root): that with the least doc_id, null first."""
+    groups = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
     ones = groups.select(F.col("one.doc_id").alias("__one_doc"), F.col("one.text_hash").alias("__one_hash"))
     hashed = documents.withColumn("__hash", F.xxhash64("text"))
     stay = hashed.join(ones, (F.col("__hash") == F.col("__one_hash")) & F.col("doc_id").eqNullSafe(F.col("__one_doc")))
