@@ -11,11 +11,12 @@ import gzip
 import hashlib
 import io
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, load, map_rows, shared_path
+from .common import checkpointed, load, map_rows, shared_path, written
 
 CRLF = "\r\n"
 #: The blank lines that end a record.
@@ -38,35 +39,62 @@ def _record(kind: Column, record_id: Column, date: str, uri: Column, headers: li
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF), block)
 
 
-def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 30_000, compression: str = "gzip") -> None:
+def captures(pages: DataFrame, min_revisit_bytes: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """page_id, url, html, digest, n (bytes of html) and nth (which tells rows alike apart) of every row; page_id, digest and of (page_id, url and nth of the response) of revisits."""
+    rows = pages.select("page_id", F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = rows.select("*", F.sha1("html").alias("digest"), F.octet_length("html").cast("long").alias("n"))
+    key = ("page_id", "url", "digest")
+    again = checkpointed(rows.groupBy(*key).count().filter("count > 1").select(*[F.col(k).alias(f"_{k}") for k in key]))
+    if again.isEmpty():
+        rows = rows.withColumn("nth", F.lit(0).cast("long"))
+    else:
+        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
+        # Rows alike are numbered once and kept, so that all that follows sees the same numbers.
+        several = written(rows.join(again, same, "left_semi").withColumn("nth", F.monotonically_increasing_id() + 1), "alike")
+        rows = rows.join(again, same, "left_anti").withColumn("nth", F.lit(0).cast("long")).unionByName(several)
+    large = rows.filter(F.col("n") >= min_revisit_bytes).select("page_id", "url", "nth", "digest")
+    firsts = large.groupBy("digest").agg(F.max(F.struct("page_id", "url", "nth")).alias("of"), F.count("*").alias("copies")).filter("copies > 1 AND of.page_id IS NOT NULL").drop("copies")
+    revisits = large.select("page_id", "digest").join(firsts, "digest").filter("page_id < of.page_id").distinct()
+    return rows, revisits
+
+
+def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z", file_bytes: int = 16 << 20, compression: str = "gzip") -> None:
     """Write pages (page_id, url, html) as WARC files below path, through Spark's own writer and committer.
 
-    Of rows with equal payloads of at least min_revisit_bytes bytes, that with
-    the largest page_id becomes a response and the others revisits of it; all
-    smaller payloads are responses. A null html is an empty payload. A null
-    url gives no target. A null page_id is never a revisit. Rows alike in
-    page_id and payload are one capture. Blanks in a url are percent-coded.
-    Other columns are ignored. No rows give an archive without records.
+    Of rows with equal payloads of at least min_revisit_bytes bytes, those
+    with the largest page_id become responses and the others revisits of
+    one of them; all smaller payloads are responses. Every row is a capture
+    of its own, rows alike and those of one page_id too. A null html is an
+    empty payload. A null url gives no target. A null page_id is never a
+    revisit, and its metadata name no page_id. Blanks in a url are
+    percent-coded. Other columns are ignored. No rows give an archive
+    without records. Files hold about file_bytes bytes of payload at most,
+    or one page that is larger.
     """
-    rows = pages.select("page_id", F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.select("*", F.sha1("html").alias("digest"), F.octet_length("html").cast("long").alias("n"))
-    large = rows.filter(F.col("n") >= min_revisit_bytes).select("page_id", "digest")
-    firsts = large.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1 AND first_id IS NOT NULL").drop("copies")
-    revisits = large.join(firsts, "digest").filter("page_id < first_id").distinct()
-    rows = rows.join(revisits, ["page_id", "digest"], "left")
+    rows, revisits = captures(pages, min_revisit_bytes)
+    sizes = rows.select(F.when(F.col("n") * 64 <= file_bytes, 0).when(F.col("n") <= file_bytes, 1).otherwise(2).alias("size"), "n").groupBy("size").agg(F.sum(F.col("n") + 1024).alias("bytes"), F.count("*").alias("rows"), F.max("n").alias("most")).collect()
+    parts = max(1, -(-sum(r["bytes"] for r in sizes) // file_bytes))
+    # One exchange of pages serves both the join and the spread over files.
+    both = rows.repartition(parts, "page_id", "digest").join(revisits.repartition(parts, "page_id", "digest"), ["page_id", "digest"], "left")
     page, digest, uri = F.col("page_id"), F.col("digest"), F.col("url")
-    main_id, again = _urn("main", page, digest), F.col("first_id").isNotNull()
+    main_id, again = _urn("main", page, uri, digest, F.col("nth")), F.col("of").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(CRLF + CRLF))
+    of = _urn("main", F.col("of.page_id"), F.col("of.url"), digest, F.col("of.nth"))
     main = _record(
         F.when(again, "revisit").otherwise("response"), main_id, date, uri,
-        [F.concat(F.lit("WARC-Payload-Digest: sha1:"), digest), F.when(again, F.lit(f"WARC-Profile: {PROFILE}")), F.when(again, F.concat(F.lit("WARC-Refers-To: "), _urn("main", F.col("first_id"), digest)))],
+        [F.concat(F.lit("WARC-Payload-Digest: sha1:"), digest), F.when(again, F.lit(f"WARC-Profile: {PROFILE}")), F.when(again, F.concat(F.lit("WARC-Refers-To: "), of))],
         F.lit("application/http;msgtype=response"), F.when(again, http).otherwise(F.concat(http, F.col("html"))),
     )
     ties = [F.concat(F.lit("WARC-Concurrent-To: "), main_id)]
-    request = _record(F.lit("request"), _urn("request", page, digest), date, uri, ties, F.lit("application/http;msgtype=request"), F.concat(F.lit("GET "), F.coalesce(uri, F.lit("/")), F.lit(f" HTTP/1.1{CRLF}Accept: text/html{CRLF}{CRLF}")))
-    metadata = _record(F.lit("metadata"), _urn("metadata", page, digest), date, uri, ties, F.lit("application/warc-fields"), F.concat(F.lit("page_id: "), F.coalesce(page.cast("string"), F.lit("")), F.lit(CRLF)))
-    records = rows.select(F.explode(F.array(request, main, metadata)).alias("value"))
-    records.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
+    other = lambda kind: _urn(kind, page, uri, digest, F.col("nth"))
+    request = _record(F.lit("request"), other("request"), date, uri, ties, F.lit("application/http;msgtype=request"), F.concat(F.lit("GET "), F.coalesce(uri, F.lit("/")), F.lit(f" HTTP/1.1{CRLF}Accept: text/html{CRLF}{CRLF}")))
+    named = F.coalesce(F.concat(F.lit("page_id: "), F.url_encode(page.cast("string")), F.lit(CRLF)), F.lit(""))
+    metadata = _record(F.lit("metadata"), other("metadata"), date, uri, ties, F.lit("application/warc-fields"), named)
+    for r in sizes or [{"size": 0, "most": 0}]:
+        size = F.when(F.col("n") * 64 <= file_bytes, 0).when(F.col("n") <= file_bytes, 1).otherwise(2)
+        records = both.filter(size == r["size"]).select(F.explode(F.array(request, main, metadata)).alias("value"))
+        most = 3 * max(1, file_bytes // (r["most"] + 1024))
+        records.write.mode("append").option("lineSep", RECORD_END).option("maxRecordsPerFile", most).option("compression", compression).text(path)
 
 
 def parse_records(data, with_payload: bool = True):
@@ -145,8 +173,10 @@ def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_archive(load(spark, sf_dir, "pages"), path)
     got = assemble(checkpointed(read_archive(spark, path, with_payload=False).drop("payload")))
-    page = F.regexp_extract(F.col("metadata")[0]["content"], r"page_id: (-?\d+)", 1)
-    got = got.select("capture_id", F.when(page != "", page.cast("long")).alias("page_id"), "main.payload_bytes", "main.payload_digest", F.col("main.type").alias("record_type"), F.col("main.refers_to").alias("of"), "main.target_uri", F.size("requests").cast("long").alias("n_requests"))
+    said = F.col("metadata")[0]["content"]
+    page = F.when(said.rlike("page_id: "), F.url_decode(F.regexp_extract(said, r"page_id: (\S*)", 1)))
+    kind = load(spark, sf_dir, "pages").schema["page_id"].dataType
+    got = got.select("capture_id", page.cast(kind).alias("page_id"), "main.payload_bytes", "main.payload_digest", F.col("main.type").alias("record_type"), F.col("main.refers_to").alias("of"), "main.target_uri", F.size("requests").cast("long").alias("n_requests"))
     got = checkpointed(got)
     answered = got.filter("record_type = 'response'").select(F.col("capture_id").alias("of"), F.col("page_id").alias("refers_to"))
     return got.join(answered, "of", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "n_requests")
