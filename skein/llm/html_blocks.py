@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import html
 import re
+from functools import cache
 from typing import NamedTuple
 
 #: Elements whose content is not text of the page.
 OPAQUE = {"script", "style", "template", "noscript", "iframe", "object", "svg", "math", "canvas", "audio", "video", "noframes", "xmp"}
+#: Those of them that last to the end of the page where no end tag follows.
+RAW = {"script", "style", "iframe", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr", "br", "embed", "input", "picture", "source"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr", "br", "embed", "input", "picture", "source", "svg", "math"}
 #: Start tags that end an open element of a kind, and where the search for it stops.
 ENDS = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select", "datalist")),
@@ -21,6 +24,11 @@ _NAMES = re.compile(r"""(?:^|[\s"'])(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)
 _WORDS = re.compile(r"[a-z]{2,}")
 
 
+@cache
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?:[\s/][^>]*)?(?:>|\Z)", re.I)
+
+
 class Element(NamedTuple):
     tag: str
     names: tuple[str, ...]
@@ -75,7 +83,7 @@ def blocks(page: str | None) -> list[Block]:
             links -= e.tag == "a"
         del stack[k:]
 
-    low = None
+    endless: set[str] = set()
     while m := _MARKUP.search(page, at):
         say(page[at : m.start()])
         at = m.end()
@@ -110,14 +118,14 @@ def blocks(page: str | None) -> list[Block]:
         if tag in VOID or attributes.endswith("/") and not block:
             continue
         if tag in OPAQUE:
-            low = page.lower() if low is None and len(page.lower()) == len(page) else low
-            end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at) if low is None else None
-            k = low.find(f"</{tag}", at) if low is not None else (end.start() if end else -1)
-            if k < 0:
+            end = None if tag in endless else _end_of(tag).search(page, at)
+            if end:
+                at = end.end()
+            elif tag in RAW:
                 at = len(page)
                 break
-            close = page.find(">", k)
-            at = len(page) if close < 0 else close + 1
+            else:  # never closed: only the tag itself is passed over
+                endless.add(tag)
             continue
         names = tuple(x for g in _NAMES.findall(attributes) for x in _WORDS.findall(" ".join(g).lower())) if attributes else ()
         stack.append(Element(tag, names))

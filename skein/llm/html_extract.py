@@ -51,34 +51,45 @@ def vocabulary() -> tuple[Buckets, Buckets]:
 class Encoded:
     """Blocks of some pages as numbers: figures, leaf tags, and the buckets of their path and words, block by block."""
 
-    def __init__(self, pages: list[list[Block]], hashed: tuple[Buckets, Buckets]):
+    def __init__(self, pages: list[list[Block]], hashed: tuple[Buckets, Buckets], part: int = 8192):
         names, word = hashed
-        self.sizes = np.array([len(p) for p in pages])
-        figures, leaf, paths, words = [], [], [], []
-        path_n, word_n = [], []
+        self.sizes = np.array([len(p) for p in pages], np.int64)
+        parts: list[list[np.ndarray]] = []
+        figures, leaf, paths, words, path_n, word_n = held = ([], [], [], [], [], [])
+
+        def pack():  # so that a long page is never a list of numbers as a whole
+            parts.append([np.array(figures, np.float32).reshape(-1, FIGURES), *[np.array(x, np.int32) for x in held[1:]]])
+            for x in held:
+                x.clear()
 
         for page in pages:
             for i, b in enumerate(page):
                 figures.append(_figures(b, i, len(page)))
                 leaf.append(names[b.path[-1].tag if b.path else ""])
-                p = [names["<" + e.tag] for e in b.path] + [names["." + x] for e in b.path for x in e.names]
-                w = [word[x] for x in b.text.lower().split()]
-                paths += p
-                words += w
-                path_n.append(len(p))
-                word_n.append(len(w))
-        self.figures = np.array(figures, np.float32).reshape(-1, FIGURES)
-        self.leaf = np.array(leaf, np.int64)
-        self.path, self.word = np.array(paths, np.int64), np.array(words, np.int64)
-        self.path_n, self.word_n = np.array(path_n, np.int64), np.array(word_n, np.int64)
-
-
-def _mean(table: np.ndarray, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+                at = len(paths)
+                paths += [names["<" + e.tag] for e in b.path]
+                paths += [names["." + x] for e in b.path for x in e.names]
+                path_n.append(len(paths) - at)
+                at = len(words)
+                words += [word[x] for x in b.text.lower().split()]
+                word_n.append(len(words) - at)
+                if len(leaf) >= part or len(words) >= 32 * part or len(paths) >= 32 * part:
+                    pack()
+        pack()
+        self.figures, self.leaf, self.path, self.word, self.path_n, self.word_n = (np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _mean(table: np.ndarray, ids: np.ndarray, n: np.ndarray, part: int = 1 << 16) -> np.ndarray:
     out = np.zeros((len(n), table.shape[1]), np.float32)
-    if len(ids):
-        full = np.flatnonzero(n)
-        starts = (np.cumsum(n) - n)[full]
-        out[full] = np.add.reduceat(table[ids], starts, 0) / n[full, None]
+    ends = np.cumsum(n, dtype=np.int64)
+    for at in range(0, len(n), part):  # table[ids] of a whole long page would be large
+        m = n[at : at + part]
+        lo = ends[at - 1] if at else 0
+        some = ids[lo : ends[at + len(m) - 1]]
+        if len(some):
+            full = np.flatnonzero(m)
+            starts = (ends[at : at + len(m)] - m - lo)[full]
+            out[at + full] = np.add.reduceat(table[some], starts, 0) / m[full, None]
     return out
 
 
@@ -102,15 +113,16 @@ class BlockLabeller:
     def inputs(self, e: Encoded) -> np.ndarray:
         return np.concatenate([_mean(self.p["path"], e.path, e.path_n), self.p["leaf"][e.leaf], _mean(self.p["word"], e.word, e.word_n), e.figures], 1)
 
-    def _run(self, d: str, x: np.ndarray, keep: bool):
+    def _run(self, d: str, x: np.ndarray, keep: bool, stretch: int = 4096):
         """x: steps, pages, inputs. States of each step, and what the way back needs."""
         h = np.zeros((x.shape[1], self.hidden), np.float32)
         c, n = h, self.hidden
         states, held = np.empty((*x.shape[:2], n), np.float32), []
-        z = x @ self.p[d + "x"] + self.p[d + "b"]
         wh = self.p[d + "h"]
         for t in range(len(x)):
-            g = z[t] + h @ wh
+            if t % stretch == 0:
+                z = x[t : t + stretch] @ self.p[d + "x"] + self.p[d + "b"]
+            g = z[t % stretch] + h @ wh
             s = _sigmoid(g[:, : 3 * n])
             i, f, o, a = s[:, :n], s[:, n : 2 * n], s[:, 2 * n :], np.tanh(g[:, 3 * n :])
             c0, h0 = c, h
@@ -137,7 +149,8 @@ class BlockLabeller:
             grid[at, page] = x
             s, held = self._run(d, grid, keep)
             states.append(s[at, page])
-            ways.append((grid, held))
+            if keep:
+                ways.append((grid, held))
         both = np.concatenate(states, 1)
         return x, both, ways, _sigmoid((both @ self.p["out"])[:, 0] + self.p["top"][0])
 
@@ -198,18 +211,30 @@ class BlockLabeller:
                     self.p[key] -= (now * (m[key] / (1 - 0.9**t)) / (np.sqrt(v2[key] / (1 - 0.995**t)) + 1e-7)).astype(np.float32)
         return self
 
-    def main_text(self, pages: list[str | None], hashed: tuple[Buckets, Buckets], batch: int = 64) -> list[str]:
+    def main_text(self, pages: list[str | None], hashed: tuple[Buckets, Buckets], batch: int = 64, cells: int = 1 << 15) -> list[str]:
         """The blocks labelled as main text of each whole page, joined by line feeds."""
-        cut = [blocks(p) for p in pages]
         out = [""] * len(pages)
-        order = sorted((k for k in range(len(cut)) if cut[k]), key=lambda k: len(cut[k]))
-        for at in range(0, len(order), batch):
-            some = order[at : at + batch]
+        for i, text in self.main_texts(pages, hashed, batch, cells):
+            out[i] = text
+        return out
+
+    def main_texts(self, pages: list[str | None], hashed: tuple[Buckets, Buckets], batch: int = 64, cells: int = 1 << 15):
+        """Places and main texts of pages, in any order. Pages that are read side by side take at most ``cells`` steps altogether, the shorter ones' padding counted; a longer page is read by itself."""
+        cut = [blocks(p) for p in pages]
+        order = sorted(range(len(cut)), key=lambda k: len(cut[k]))
+        at = 0
+        while at < len(order):
+            n = 1
+            while n < batch and at + n < len(order) and (n + 1) * len(cut[order[at + n]]) <= cells:
+                n += 1
+            some = order[at : at + n]
             e = Encoded([cut[k] for k in some], hashed)
             keep = np.split(self.forward(e)[3] > 0.5, np.cumsum(e.sizes)[:-1])
+            del e
             for k, mask in zip(some, keep, strict=True):
-                out[k] = "\n".join(b.text for b, x in zip(cut[k], mask, strict=True) if x)
-        return out
+                yield k, "\n".join(b.text for b, x in zip(cut[k], mask, strict=True) if x)
+                cut[k] = []
+            at += n
 
 
 def labelled(page: str) -> tuple[list[Block], list[int]]:
@@ -237,7 +262,12 @@ def extract(pages: DataFrame, model: BlockLabeller | None = None) -> DataFrame:
 
     def make():
         hashed = vocabulary()
-        return lambda rows: [(r["page_id"], r["url"], t, len(t)) for r, t in zip(rows, model.main_text([r["html"] for r in rows], hashed), strict=True)]
+
+        def fn(rows):
+            for i, t in model.main_texts([r["html"] for r in rows], hashed):
+                yield rows[i]["page_id"], rows[i]["url"], t, len(t)
+
+        return fn
 
     return map_rows(pages.select("page_id", "url", "html"), make, f"page_id {kind}, url string, text string, n_chars long")
 
