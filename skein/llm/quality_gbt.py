@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, load, map_rows
+from .common import crc_remainder, held_out, load, map_rows
 
 FEATURES = ("log_words", "word_length", "word_length_sd", "upper", "symbols", "digits", "punctuation", "stops", "shouts", "distinct", "stutter", "single", "distinct_pairs", "log_lines", "line_words", "dup_lines", "non_ascii", "blanks")
 _UPPER, _DIGITS = string.ascii_uppercase.encode(), string.digits.encode()
@@ -96,19 +96,21 @@ class HistogramGBT:
         return 1 / (1 + np.exp(-(self.base + self.value[tree, leaf].sum(1))))
 
 
-def train(documents: DataFrame, labels: DataFrame, max_rows: int = 20_000, modulus: int = 4, held_out: int = 2, **options) -> HistogramGBT:
+def train(documents: DataFrame, labels: DataFrame, max_rows: int = 20_000, modulus: int = 4, left_out: int = 2, **options) -> HistogramGBT:
     """Trees fitted to at most ``max_rows`` labelled documents, those with the least md5 of doc_id.
 
-    Rows whose crc32(doc_id) leaves held_out modulo modulus are never seen,
-    nor are null labels. A document with several labels counts with each.
+    Rows whose crc32(doc_id) leaves left_out modulo modulus are never seen,
+    nor are null doc_ids and null labels. A document with several labels
+    counts with each, as do several documents of one doc_id, up to max_rows.
     """
-    chosen = labels.filter((crc_remainder("doc_id", modulus) != held_out) & F.col("quality").isNotNull()).select(F.col("doc_id").alias("label_id"), "quality").orderBy(F.md5(F.col("label_id").cast("string")), "label_id", "quality").limit(max_rows)
+    chosen = labels.filter((crc_remainder("doc_id", modulus) != left_out) & F.col("quality").isNotNull()).select(F.col("doc_id").alias("label_id"), "quality").orderBy(F.md5(F.col("label_id").cast("string")), "label_id", "quality").limit(max_rows)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))  # max_rows pairs of numbers at most
 
     def make():
         return lambda got: [(str(r["doc_id"]), float(r["quality"]), statistics(r["text"])) for r in got]
 
-    got = sorted(map(tuple, map_rows(rows.select("doc_id", "quality", "text"), make, "doc_id string, quality double, x array<double>").collect()))
+    found = map_rows(rows.select("doc_id", "quality", "text"), make, "doc_id string, quality double, x array<double>")
+    got = sorted(map(tuple, found.orderBy(F.md5("doc_id"), "doc_id", "quality", "x").limit(max_rows).collect()))
     x = np.array([r[2] for r in got]).reshape(-1, len(FEATURES))
     return HistogramGBT(**options).fit(x, np.array([r[1] for r in got]))
 
@@ -128,7 +130,7 @@ def classify(documents: DataFrame, model: HistogramGBT, threshold: float = 0.7)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
+    """doc_id, held_out, score and predicted of every document; a null doc_id isn't held out."""
     docs = load(spark, sf_dir, "documents")
     model = train(docs, load(spark, sf_dir, "labels"))
-    return classify(docs, model).select("doc_id", (crc_remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+    return classify(docs, model).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")

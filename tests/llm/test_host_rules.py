@@ -48,3 +48,23 @@ def test_hosts_that_do_not_differ_get_the_mean(spark, same):
     rows = [(i, "w " * 5 if i % 4 < same / 20 else " ".join(map(str, range(30))), f"h{i // 4 % 5}") for i in range(100)]
     v = host_rules.host_verdicts(host_rules.measured(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()
     assert all(abs(r["short_rate"] - same / 80) < 1e-6 for r in v)
+
+
+def test_sql_agrees_where_hosts_fail(spark, tmp_path):
+    """A table whose hosts differ: one fails as a whole, one nearly, one has a single document; sources may be null."""
+    import duckdb
+
+    r = random.Random(2)
+    clean = lambda: " ".join(f"w{r.randrange(5000)}x" for _ in range(r.randint(12, 60)))
+    bad = [lambda: "too short", lambda: "a b c d e " * 9, lambda: clean() + " # $ % & | < > *" * 4, lambda: "\n".join(["same line"] * 9)]
+    rows = []
+    for source, n, share in (("fails", 80, 0.97), ("half", 60, 0.45), ("good", 90, 0.02), (None, 40, 0.0), ("one", 1, 1.0)):
+        rows += [(len(rows) + i, r.choice(bad)() if r.random() < share else clean(), source) for i in range(n)]
+    rows += [(999, None, "good"), (1000, "", "half")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(x) for x in host_rules.op6_host_rules(spark, str(tmp_path)).collect()]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    assert sorted(got) == sorted(db.execute(host_rules.OP6_SQL).fetchall())
+    assert sum(not x[6] and not x[7] for x in got) > 0 and sum(x[8] for x in got) > 100  # the host's verdict decides on some that pass the base rules

@@ -1,3 +1,4 @@
+import math
 import random
 from zlib import crc32
 
@@ -68,6 +69,73 @@ def test_gradients_of_the_network():
     assert loss() < 0.5 * start and any(not np.array_equal(before[k], net.p[k]) for k in before)
 
 
+def test_forward_pass_is_that_of_plain_loops():
+    net = langid.ByteCNN(["a", "b", "c"], length=11, dim=3, filters=2, seed=4)
+    rng = np.random.default_rng(2)
+    net.p |= {k: rng.normal(0, 0.5, net.p[k].shape).astype(np.float32) for k in ("bias", "top", "out")}
+    x = rng.integers(0, 256, (6, 11)).astype(np.uint8)
+    for row, logp in zip(x, net.forward(x)[2][1], strict=True):
+        pooled = []
+        for i, width in enumerate(langid.WIDTHS):
+            for f in range(2):
+                sums = []
+                for at in range(11):
+                    context = [row[at + k] if at + k < 11 else 0 for k in range(width)]
+                    sums.append(sum(float(net.p["emb"][b][d]) * float(net.p["conv"][k * 3 + d][i * 2 + f]) for k, b in enumerate(context) for d in range(3)))
+                pooled.append(max(0.0, max(sums) + float(net.p["bias"][i * 2 + f])))
+        z = [sum(p * float(w) for p, w in zip(pooled, net.p["out"][:, c], strict=True)) + float(net.p["top"][c]) for c in range(3)]
+        assert logp == pytest.approx([v - math.log(sum(map(math.exp, z))) for v in z], abs=1e-5)
+
+
+@pytest.mark.parametrize("text", ["½", "²", "Ⅷ", "12 -- 34", "١٢", "", None, "①"])
+def test_what_is_no_letter(text):
+    net = langid.ByteCNN(["a", "b"], length=8)
+    assert net.predict([text]) == [("und", 0.0)] and net.predict([(text or "") + "é"])[0][0] in "ab"
+
+
+def test_null_ids_are_not_held_out(spark, tmp_path):
+    spark.createDataFrame([(None, "ba do ku", "xx"), (1, "tré sça", "yy"), (4, "½", None)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1), (None, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for query, modulus, left in ((langid.op10_language_id, 3, 1), (quality_gbt.op3_quality, 4, 2)):
+        assert {r["doc_id"]: r["held_out"] for r in query(spark, str(tmp_path)).collect()} == {None: False, **{k: crc32(str(k).encode()) % modulus == left for k in (1, 4)}}
+
+
+def test_low_scores_are_rejected(documents):
+    net = langid.train(documents, per_label=30)
+    every = langid.keep_identified(documents, net, least=0.0).count()
+    assert langid.keep_identified(documents, net).count() == every == 242 and langid.keep_identified(documents, net, least=1.01).count() == 0
+
+
+def test_splits_are_those_of_a_plain_search():
+    """Trees grown by trying every cut of every feature on the rows of every node, one after another."""
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(150, 3)), 1)
+    y = ((x[:, 0] > 0.2) ^ (x[:, 1] > 0)).astype(float)
+    model = quality_gbt.HistogramGBT(trees=4, depth=2, bins=8, min_rows=5).fit(x, y)
+    cuts = [sorted({float(np.quantile(x[:, j], k / 8)) for k in range(1, 8)}) for j in range(3)]
+    margin = [model.base] * len(y)
+    for _ in range(model.trees):
+        p = [1 / (1 + math.exp(-m)) for m in margin]
+        grad, hess = [a - b for a, b in zip(y, p, strict=True)], [b * (1 - b) for b in p]
+        score = lambda rows: sum(grad[i] for i in rows) ** 2 / (sum(hess[i] for i in rows) + model.ridge)  # noqa: B023, E731
+        leaves = [list(range(len(y)))]
+        for _ in range(model.depth):
+            grown = []
+            for rows in leaves:
+                best = (1e-9, rows, [])
+                for j in range(3):
+                    for cut in cuts[j]:
+                        left, right = [i for i in rows if x[i, j] <= cut], [i for i in rows if x[i, j] > cut]
+                        if min(len(left), len(right)) >= model.min_rows and (gain := score(left) + score(right) - score(rows)) > best[0] + 1e-9:
+                            best = (gain, left, right)
+                grown += best[1:]
+            leaves = grown
+        for rows in leaves:
+            for i in rows:
+                margin[i] += model.rate * sum(grad[k] for k in rows) / (sum(hess[k] for k in rows) + model.ridge)
+    assert model.score(x) == pytest.approx([1 / (1 + math.exp(-m)) for m in margin], abs=1e-9)
+
+
 def test_trees_fit_and_flat_walk_is_that_of_single_rows():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(600, 5))
