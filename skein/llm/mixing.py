@@ -16,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, load
+from .common import WORD, checkpointed, identified, load, small, written
 
 GOLDEN = 0.6180339887498949
+#: Words that a hash range of a source is to hold, about: what is ordered in one task.
+RANGE_WORDS = 50_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -49,8 +51,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     return found.select("source", "src", "source_size", "weight", target.alias("target"))
 
 
-def lay_out(docs: DataFrame, ranges: int = 1024, seed: int = 42) -> DataFrame:
-    """docs: src, doc_id, size > 0. Adds start: the words of src before this document, in an order that a hash of the seed and doc_id gives."""
+def lay_out(docs: DataFrame, ranges: int, seed: int = 42) -> DataFrame:
+    """docs: src, doc_id, size > 0. Adds start: the words of src before this document, in an order that a hash of the seed and doc_id gives, cut into so many ranges."""
     docs = docs.withColumn("key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     docs = docs.withColumn("range", F.floor(F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * ranges / (1 << 24)))
     sums = docs.groupBy("src", "range").agg(F.sum("size").alias("sum"))
@@ -86,18 +88,20 @@ def schedule(quota: DataFrame, slots: int, chunk: int = 65_536) -> DataFrame:
     return ranked.filter("rank < n_slots").select("slot", "src", "rank").unionByName(closing)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, slots: int = 1 << 18, seed: int = 42) -> DataFrame:
-    """docs: doc_id, source, size (words). Returns doc_id, source, size, source_size, target, taken.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, slots: int = 1 << 18, seed: int = 42, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs: doc_id (and other keys), source, size (words). Returns these, source_size, target, taken, n_slots and first_slot.
 
     The schedule has about ``slots`` slots, so a block is the sum of sizes
     over slots, at least one word, and grows with the corpus. The last slot
-    of a source is cut to end at its target, rounded to a word. A document
-    without words is taken 0 times; rows alike in doc_id are laid out one
-    by one; a null doc_id or source is a value like others. An empty table
-    gives no rows. Reruns agree: the order depends on the seed and doc_id
-    alone.
+    of a source is cut to end at its target, rounded to a word. n_slots
+    counts the slots that take words of the document, first_slot is the
+    first of them in the order of the mixed corpus (null if none does). A
+    document without words is taken 0 times; rows alike in their keys are
+    laid out one by one; a null doc_id or source is a value like others. An
+    empty table gives no rows. Reruns agree: the order depends on the seed
+    and doc_id alone. Extra columns are ignored.
     """
-    docs = checkpointed(docs.select("doc_id", "source", F.col("size").cast("long").alias("size")))
+    docs = checkpointed(docs.select(*keys, "source", F.col("size").cast("long").alias("size")))
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = checkpointed(source_targets(sizes, weights, most))
     total = targets.agg(F.sum("source_size")).first()[0] or 0
@@ -108,24 +112,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, sl
     quota = targets.filter("source_size > 0").select("src", blocks.alias("blocks"), (passes * blocks + F.ceil(rest / block).cast("long")).alias("n_slots"), passes.alias("passes"), rest.alias("rest")).filter("n_slots > 0")
     quota = checkpointed(quota)
     drawn = quota.agg(F.sum("n_slots")).first()[0] or 0
-    named = docs.join(targets, docs["source"].eqNullSafe(targets["source"])).select("doc_id", docs["source"], "src", "size", "source_size", "target")
-    laid = lay_out(named.filter("size > 0"), seed=seed)
+    named = docs.join(targets, docs["source"].eqNullSafe(targets["source"])).select(*keys, docs["source"], "src", "size", "source_size", "target")
+    laid = lay_out(named.filter("size > 0"), max(1024, int(total / RANGE_WORDS)), seed)
     cell = F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))
     pieces = laid.withColumn("block", cell)
     lo, hi = F.greatest(F.col("start"), F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     # Slots meet blocks by source and block; a block taken in several passes is one row with its count.
     plan = schedule(quota.select("src", "n_slots"), drawn).join(quota.select("src", "blocks", "passes", "rest"), "src") if drawn else None
+    none = [F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("n_slots"), F.lit(None).cast("long").alias("first_slot")]
+    out = [*keys, "source", "size", "source_size", "target"]
     if plan is not None:
         block_of = (F.col("rank") % F.col("blocks")).alias("block")
         last = (F.col("rank") >= F.col("passes") * F.col("blocks")) & ((block_of + 1) * block > F.col("rest"))
-        taken = plan.groupBy("src", block_of).agg(F.count(F.when(~last, 1)).alias("whole"), F.max(F.when(last, F.col("rest"))).alias("cut"))
-        part = (hi - lo) * F.col("whole") + F.when(F.col("cut").isNotNull(), F.greatest(F.lit(0), F.least(hi, F.col("cut")) - lo)).otherwise(0)
-        summed = pieces.join(taken, ["src", "block"], "left").groupBy("doc_id", "source", "src", "size", "source_size", "target", "start").agg(F.coalesce(F.sum(part), F.lit(0)).cast("long").alias("taken"))
+        taken = plan.groupBy("src", block_of).agg(F.count(F.when(~last, 1)).alias("whole"), F.max(F.when(last, F.col("rest"))).alias("cut"), F.min(F.when(~last, F.col("slot"))).alias("slot"), F.min(F.when(last, F.col("slot"))).alias("last_slot"))
+        rest = F.when(F.col("cut").isNotNull(), F.greatest(F.lit(0), F.least(hi, F.col("cut")) - lo)).otherwise(0)
+        part = (hi - lo) * F.col("whole") + rest
+        sums = [F.coalesce(F.sum(part), F.lit(0)).cast("long").alias("taken"), F.coalesce(F.sum(F.col("whole") + (rest > 0).cast("long")), F.lit(0)).cast("long").alias("n_slots"), F.min(F.least("slot", F.when(rest > 0, F.col("last_slot")))).alias("first_slot")]
+        summed = pieces.join(taken, ["src", "block"], "left").groupBy(*keys, "source", "src", "size", "source_size", "target", "start").agg(*sums).select(*out, "taken", "n_slots", "first_slot")
     else:
-        summed = laid.withColumn("taken", F.lit(0).cast("long"))
-    none = named.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    out = ["doc_id", "source", "size", "source_size", "target", "taken"]
-    return summed.select(*out).unionByName(none.select(*out))
+        summed = laid.select(*out, *none)
+    return summed.unionByName(named.filter("size = 0").select(*out, *none))
 
 
 def mix_documents(documents: DataFrame, **options) -> DataFrame:
@@ -133,26 +139,53 @@ def mix_documents(documents: DataFrame, **options) -> DataFrame:
     return mix(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")), **options)
 
 
+def mix_corpus(documents: DataFrame, **options) -> DataFrame:
+    """documents with size, source_size, target, taken, n_slots and first_slot: the corpus that the mix takes, in the order of first_slot, each document so often as its taken words come to.
+
+    Rows and other columns stay as they are, but for any of these names.
+    Rows of one doc_id are documents of their own.
+    """
+    made = ("size", "source_size", "target", "taken", "n_slots", "first_slot")
+    others = [c for c in documents.columns if c not in made]
+    rows = identified(documents.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("__others"), "doc_id", "text", "source"))
+    mixed = written(mix(rows.select("doc_id", "__row", "source", word_count(F.col("text")).alias("size")), keys=("doc_id", "__row"), **options), "mixed")
+    mixed = mixed.select(F.col("doc_id").alias("__doc"), F.col("__row").alias("__again"), *made)
+    joined = rows.join(small(mixed, F.lit(96)), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__row") == F.col("__again")))
+    return joined.select(*[F.col(f"__others.`{c}`").alias(c) for c in others], *made)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken and source of every document."""
+    """doc_id, size, source_size, target, taken, n_slots, first_slot and source of every document."""
     return mix_documents(load(spark, sf_dir, "documents"))
 
 
-def mix_sql(table: str = "documents") -> str:
-    """The result as DuckDB SQL: what slots and blocks come to is each document's stretch times whole passes, and its overlap with the rest."""
+def mix_sql(table: str = "documents", slots: int = 1 << 18) -> str:
+    """The result as DuckDB SQL, slot by slot: golden-ratio points through cumulative shares, ranks of slots, blocks of ranks, and the documents that these overlap."""
     return f"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM {table}),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM {table}),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+z AS (SELECT CAST(greatest(1, (sum(source_size) + {slots - 1}) // {slots}) AS BIGINT) AS block FROM s),
 r AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS src FROM s),
 w AS (SELECT *, CASE src % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS cap FROM r),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level
       FROM w WINDOW b AS (ORDER BY cap / weight, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT arg_min(level, (cap / weight, src)) AS level FROM l WHERE level * weight < cap),
 t AS (SELECT source, source_size, src, CASE WHEN f.level IS NULL THEN cap::DOUBLE ELSE least(cap::DOUBLE, f.level * weight) END AS target FROM w, f),
-o AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS goal,
-      sum(d.size) OVER (PARTITION BY t.src ORDER BY md5('42:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, source, size, source_size, target,
-       CAST(CASE WHEN size = 0 THEN 0 ELSE (goal // source_size) * size + greatest(0, least(start + size, goal % source_size) - start) END AS BIGINT) AS taken
-FROM o
+q AS (SELECT src, block, (source_size + block - 1) // block AS blocks, CAST(round(target) AS BIGINT) // source_size AS passes, CAST(round(target) AS BIGINT) % source_size AS rest
+      FROM t, z WHERE source_size > 0),
+n AS (SELECT *, CAST(passes * blocks + (rest + block - 1) // block AS BIGINT) AS quota FROM q),
+c AS (SELECT *, CAST(sum(quota) OVER () AS BIGINT) AS total, (sum(quota) OVER (ORDER BY src) - quota) / sum(quota) OVER () AS lo, sum(quota) OVER (ORDER BY src) / sum(quota) OVER () AS hi FROM n WHERE quota > 0),
+p AS (SELECT slot, (slot + 1) * {GOLDEN!r}::DOUBLE - floor((slot + 1) * {GOLDEN!r}::DOUBLE) AS x FROM (SELECT unnest(range((SELECT max(total) FROM c))) AS slot)),
+k AS (SELECT slot, src, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS rank FROM p JOIN c ON x >= lo AND x < hi),
+g AS (SELECT c.src, count(k.slot) AS got FROM c LEFT JOIN k ON k.src = c.src GROUP BY c.src),
+e AS (SELECT k.src, k.slot, k.rank FROM k JOIN c ON c.src = k.src WHERE k.rank < c.quota
+      UNION ALL SELECT src, total + rank, rank FROM (SELECT c.src, c.total, unnest(range(g.got, c.quota)) AS rank FROM c JOIN g ON c.src = g.src WHERE g.got < c.quota)),
+b AS (SELECT e.src, slot, rank % blocks AS b, CASE WHEN rank >= passes * blocks THEN least((rank % blocks + 1) * block, rest) ELSE (rank % blocks + 1) * block END AS upto, block FROM e JOIN c ON c.src = e.src),
+o AS (SELECT d.rid, t.src, d.size, CAST(sum(d.size) OVER (PARTITION BY t.src ORDER BY md5('42:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS BIGINT) AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WHERE d.size > 0),
+u AS (SELECT rid, src, start, size, unnest(range(start // block, (start + size - 1) // block + 1)) AS b FROM o, z),
+m AS (SELECT u.rid, slot, least(u.start + u.size, upto) - greatest(u.start, u.b * block) AS words FROM u JOIN b ON b.src = u.src AND b.b = u.b),
+a AS (SELECT rid, CAST(sum(words) AS BIGINT) AS taken, count(*) AS n_slots, min(slot) AS first_slot FROM m WHERE words > 0 GROUP BY rid)
+SELECT d.doc_id, d.source, d.size, t.source_size, t.target, coalesce(a.taken, 0) AS taken, coalesce(a.n_slots, 0) AS n_slots, a.first_slot
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN a ON a.rid = d.rid
 """

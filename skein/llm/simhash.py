@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, load, map_rows
+from .common import checkpointed, load, map_rows, small, written
 from .components import connected_components
 
 SEGMENTS = (22, 21, 21)
@@ -170,13 +170,23 @@ def keep_one(documents: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def keep_least(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """One row of documents of each root of found (doc_id, text_hash, root): that with the least doc_id, null first."""
-    groups = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
-    ones = groups.select(F.col("one.doc_id").alias("__one_doc"), F.col("one.text_hash").alias("__one_hash"))
-    hashed = documents.withColumn("__hash", F.xxhash64("text"))
-    stay = hashed.join(ones, (F.col("__hash") == F.col("__one_hash")) & F.col("doc_id").eqNullSafe(F.col("__one_doc")))
-    again = F.row_number().over(Window.partitionBy("__hash", "doc_id").orderBy("__one_hash"))
-    return stay.withColumn("__again", again).filter("__again = 1").select(*documents.columns)
+    """One row of documents of each root of found (doc_id, text_hash, root): that with the least doc_id, null first, and of these the least text_hash.
+
+    Rows to go are named by doc_id and text_hash, so texts aren't sorted,
+    nor shuffled while these names are few. All columns stay, of any name.
+    """
+    counted = written(found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")), "found")
+    ones = counted.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
+    is_one = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("text_hash") == F.col("one.text_hash"))
+    marked = written(counted.join(ones, "root").select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__text"), "n", is_one.alias("stays")), "marked")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"))
+    same = F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__text"))
+    kept = rows.join(small(marked.filter("NOT stays"), F.lit(64)), same, "left_anti")
+    again = marked.filter("stays AND n > 1")
+    if not again.isEmpty():  # rows alike
+        one = kept.join(again, same, "left_semi").groupBy("__id", "__hash").agg(F.first("__row").alias("__row"))
+        kept = kept.join(again, same, "left_anti").select("__row").unionByName(one.select("__row"))
+    return kept.select("__row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
