@@ -13,10 +13,14 @@ from ..plans.graph import Graph
 DISCRIMINATORS = ("country",)
 
 
-def with_signals(pairs: DataFrame) -> DataFrame:
-    """Adds the signals and similarity to rows with q_key, query, key and matched."""
+def with_signals(pairs: DataFrame, least: float | None = None) -> DataFrame:
+    """Adds the signals and similarity to rows with q_key, query, key and matched.
+
+    With ``least``, rows go beforehand that could not reach it even if the
+    only signal that takes Python, Jaro-Winkler, were 1.
+    """
     ta, tb = sim.tokens(F.col("query")), sim.tokens(F.col("matched"))
-    rows = pairs.withColumns({"qt": ta, "mt": tb, "jaro_winkler": sim.jaro_winkler_column("q_key", "key")})
+    rows = pairs.withColumns({"qt": ta, "mt": tb})
     many = (F.size("qt") > 1) | (F.size("mt") > 1)
     initials = sim.has_initial(F.col("qt")) | sim.has_initial(F.col("mt"))
     qt, mt, zero = F.col("qt"), F.col("mt"), F.lit(0.0)
@@ -27,8 +31,11 @@ def with_signals(pairs: DataFrame) -> DataFrame:
         "digit_match": sim.digit_match(F.col("q_key"), F.col("key")),
         "many": many, "initials": initials,
     })
-    names = ("jaro_winkler", "levenshtein", "token_overlap", "abbreviation", "digit_match")
-    rows = rows.withColumn("similarity", sim.composite({n: F.col(n) for n in names}, F.col("many"), F.col("initials")))
+    known = {n: F.col(n) for n in ("levenshtein", "token_overlap", "abbreviation", "digit_match")}
+    if least is not None:
+        rows = rows.filter(sim.composite({"jaro_winkler": F.lit(1.0)} | known, F.col("many"), F.col("initials")) >= least)
+    rows = rows.withColumn("jaro_winkler", sim.jaro_winkler_column("q_key", "key"))
+    rows = rows.withColumn("similarity", sim.composite({"jaro_winkler": F.col("jaro_winkler")} | known, F.col("many"), F.col("initials")))
     return rows.drop("qt", "mt", "many", "initials")
 
 
@@ -43,7 +50,7 @@ def _matches(graph: Graph, pairs: DataFrame, galaxies: list[str] | None, thresho
     nodes = graph.nodes.filter("NOT dangling")
     if kept:
         nodes = nodes.filter(F.lower("galaxy").isin(*kept))
-    rows = with_signals(pairs).filter(F.col("similarity") >= threshold).join(nodes.select("uuid", "value", "galaxy", "meta"), "uuid")
+    rows = with_signals(pairs, threshold).filter(F.col("similarity") >= threshold).join(nodes.select("uuid", "value", "galaxy", "meta"), "uuid")
     best = F.row_number().over(Window.partitionBy("query_id", "uuid").orderBy(F.col("similarity").desc(), "name_pos", "key"))
     rows = rows.withColumn("best", best).filter("best = 1").drop("best")
     # A query that is the name of exactly one entry, in any galaxy, stands for that entry.

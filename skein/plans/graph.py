@@ -31,33 +31,34 @@ class Graph:
         return F.coalesce(F.lower(galaxy).isin(*self.config.actor_galaxies), F.lit(False)) if self.config.actor_galaxies else F.lit(False)
 
     @cached_property
-    def links(self) -> DataFrame:
-        """a < b, first_type, types, confidence: relations of a pair, in either direction, as one link."""
-        d = self.declarations.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.coalesce("type", F.lit("")).alias("type"), "seq")
+    def _pairs(self) -> DataFrame:
+        """a < b, first_type, types, confidence, ab, ba: what is declared of a pair, and the first declaration in each direction. All else that relations tell is derived from it."""
+        ahead = F.col("src") < F.col("dst")
+        d = self.declarations.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), ahead.alias("ahead"), F.coalesce("type", F.lit("")).alias("type"), "seq")
         types = F.array_sort(F.collect_set(F.when(F.col("type") != "", F.col("type"))))
-        return d.groupBy("a", "b").agg(F.min(F.struct("seq", "type"))["type"].alias("first_type"), types.alias("types"), F.count("*").cast("int").alias("confidence"))
-
-    @cached_property
-    def _directed(self) -> DataFrame:
-        return self.declarations.groupBy("src", "dst").agg(F.min("seq").alias("seq"))
+        return d.groupBy("a", "b").agg(
+            F.min(F.struct("seq", "type"))["type"].alias("first_type"), types.alias("types"), F.count("*").cast("int").alias("confidence"),
+            F.min(F.when(F.col("ahead"), F.col("seq"))).alias("ab"), F.min(F.when(~F.col("ahead"), F.col("seq"))).alias("ba"),
+        )
 
     @cached_property
-    def _adjacent(self) -> DataFrame:
-        """node, other, dir, seq: both views of every declared direction."""
-        d = self._directed
-        return d.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit("out").alias("dir"), "seq").unionAll(d.select(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit("in").alias("dir"), "seq"))
+    def links(self) -> DataFrame:
+        """a < b, first_type, types, confidence: relations of a pair, in either direction, as one link."""
+        return self._pairs.select("a", "b", "first_type", "types", "confidence")
 
     @cached_property
     def nodes(self) -> DataFrame:
         """All entries, and the dangling nodes that only relations name; with degree, group_count and is_actor."""
         known = self.entries.withColumn("dangling", F.lit(False))
-        named = self.declarations.select(F.col("dst").alias("uuid")).distinct()
+        targets = F.filter(F.array(F.when(F.col("ab").isNotNull(), F.col("b")), F.when(F.col("ba").isNotNull(), F.col("a"))), lambda x: x.isNotNull())
+        named = self._pairs.select(F.explode(targets).alias("uuid")).distinct()
         ghosts = named.join(self.entries.select("uuid"), "uuid", "left_anti").withColumn("dangling", F.lit(True))
         nodes = known.unionByName(ghosts, allowMissingColumns=True)
         nodes = nodes.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("revoked", "synthetic")} | {c: F.coalesce(c, F.lit("")) for c in ("value", "galaxy")} | {"synonyms": F.coalesce("synonyms", F.array().cast("array<string>"))})
         actors = self.entries.filter(self.is_actor(F.col("galaxy"))).select(F.col("uuid").alias("other"), F.lit(1).alias("actor"))
         # One row for each pair of neighbours first: two-way links count twice for the degree, once for the group.
-        pairs = self._adjacent.groupBy("node", "other").agg(F.count("*").alias("views"))
+        views = F.col("ab").isNotNull().cast("int") + F.col("ba").isNotNull().cast("int")
+        pairs = self._pairs.select(F.inline(F.array(*[F.struct(F.col(x).alias("node"), F.col(y).alias("other"), views.alias("views")) for x, y in ("ab", "ba")])))
         counts = pairs.join(actors, "other", "left").groupBy("node").agg(F.sum("views").cast("int").alias("degree"), F.count("actor").cast("int").alias("group_count"))
         out = nodes.join(counts, nodes["uuid"] == counts["node"], "left").drop("node")
         zero = F.lit(0)
@@ -70,9 +71,11 @@ class Graph:
         adj_pos orders the edges of src: declared ones first, then those
         declared towards it, each in order of declaration.
         """
+        view = lambda src, dst, way, seq: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(way).alias("dir"), F.col(seq).alias("seq"))
+        views = F.filter(F.array(view("a", "b", "out", "ab"), view("b", "a", "in", "ab"), view("b", "a", "out", "ba"), view("a", "b", "in", "ba")), lambda v: v["seq"].isNotNull())
+        a = self._pairs.select("first_type", "types", "confidence", F.explode(views).alias("v")).select("v.*", "first_type", "types", "confidence")
         order = Window.partitionBy("src").orderBy(F.col("dir").desc(), "seq", "dst")
-        a = self._adjacent.withColumnsRenamed({"node": "src", "other": "dst"}).withColumn("adj_pos", F.row_number().over(order).cast("long"))
-        a = a.withColumns({"a": F.least("src", "dst"), "b": F.greatest("src", "dst")}).join(self.links, ["a", "b"])
+        a = a.withColumn("adj_pos", F.row_number().over(order).cast("long"))
         counts = self.nodes.select(F.col("uuid").alias("dst"), F.col("group_count").alias("dst_group_count"))
         return a.join(counts, "dst").select("src", "dst", "dir", "adj_pos", "first_type", "types", "confidence", "dst_group_count")
 
@@ -118,7 +121,7 @@ class Graph:
 
     def keep(self) -> Graph:
         """Keep the tables that queries read in memory, spilling to disk."""
-        for name in ("links", "nodes", "adj", "name_index", "thresholds"):
+        for name in ("_pairs", "nodes", "adj", "name_index", "thresholds"):
             setattr(self, name, getattr(self, name).persist())
         return self
 

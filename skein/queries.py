@@ -74,18 +74,6 @@ def _fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "uuid", "value", "galaxy", "matched", F.round("similarity", 6).alias("similarity"), "blocked")
 
 
-def _small_links(g: Graph) -> DataFrame:
-    """Links among regions, nations, suppliers and the first three parts."""
-    inside = lambda c: F.col(c).rlike("^(region|nation|supplier):") | F.col(c).isin("part:0", "part:1", "part:2")
-    return g.links.filter(inside("a") & inside("b"))
-
-
-def _bridges_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .operators.bridges import find_bridges
-
-    return find_bridges(_small_links(graph_of(spark, sf_dir)))
-
-
 def _collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.createDataFrame([("Small Ring",), ("brand-17",), ("nation 3",), ("No Such Name",)], "name string")
     return draft.exact_collisions(graph_of(spark, sf_dir), names).select("name", "uuid", "value", "galaxy", "matched_via")
@@ -96,6 +84,20 @@ def _starts(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """All queries of graphs: over the star-schema tables, and over a corpus of files."""
+    from . import corpus_queries
+
+    return _queries() | corpus_queries.queries()
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL for all but bridges: for each link, SQL would have to search the whole graph; tests compare it with brute force."""
+    from . import corpus_queries
+
+    return _oracle_sql() | corpus_queries.oracle_sql()
+
+
+def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     g = graph_of
     compare = {"a": "part:0", "b": "part:1", "names": ["part", "supplier"]}
     around = {"a": "supplier:0", "b": "supplier:1", "names": ["part"]}
@@ -138,7 +140,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cooccurrence_galaxy": lambda s, d: analytics.co_occurrence(g(s, d), galaxy="part", min_rate=0.45, limit=60).withColumn("rate", F.round("rate", 6)),
         "cooccurrence_entry": lambda s, d: analytics.co_occurrence(g(s, d), uuid="supplier:1", min_rate=0.3, limit=30).withColumn("rate", F.round("rate", 6)),
         "shortest_path_hops": lambda s, d: paths.shortest_path(g(s, d), "customer:1", "part:7").agg((F.count("*") - 1).cast("int").alias("hops"), F.min(F.struct("hop", "uuid"))["uuid"].alias("source"), F.max(F.struct("hop", "uuid"))["uuid"].alias("target")),
-        "bridges_small": _bridges_small,
+        "bridges": lambda s, d: g(s, d).bridges,
         "refs": lambda s, d: _page_refs(s, d).select("page_id", "url", "domain", "self_referential"),
         "publishers": _publishers,
         "fuzzy_signals": _signals,
@@ -326,13 +328,12 @@ def _signal_ctes() -> list[str]:
     ]
 
 
-def oracle_sql() -> dict[str, str]:
+def _oracle_sql() -> dict[str, str]:
     folded = lambda q: _FOLD.format(f"'{q}'")
     ask = lambda q: f"SELECT 0 AS query_id, {folded(q)} AS q_key"
     compare = (["part:0", "part:1", ["part", "supplier"]], ["supplier:0", "supplier:1", ["part"]])
     host = r"regexp_replace(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^[^@]*@', ''), '^www\.', '')"
     hosts = f"SELECT page_id, url, {host} AS domain FROM pages UNION SELECT page_id, 'https://attack.mitre.org/x', 'attack.mitre.org' FROM pages"
-    small = "(a SIMILAR TO '(region|nation|supplier):.*' OR a IN ('part:0','part:1','part:2')) AND (b SIMILAR TO '(region|nation|supplier):.*' OR b IN ('part:0','part:1','part:2'))"
     names = " UNION ALL ".join(f"SELECT '{n}' AS name, {folded(n)} AS q_key" for n in ("Small Ring", "brand-17", "nation 3", "No Such Name"))
     starts = " UNION ALL ".join(f"SELECT '{u}' AS start" for u in ("part:0", "supplier:1", "nation:3", "customer:4"))
     return {
@@ -395,12 +396,6 @@ def oracle_sql() -> dict[str, str]:
             "SELECT CAST(min(depth) AS INT) AS hops, 'customer:1' AS source, 'part:7' AS target FROM reach WHERE uuid = 'part:7'",
             "reach AS (SELECT 'customer:1' AS uuid, 0 AS depth UNION SELECT a.dst, r.depth + 1 FROM reach r JOIN adj a ON a.src = r.uuid WHERE r.depth < 4)",
         ),
-        "bridges_small": _with(
-            "SELECT s.a, s.b FROM small s WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.a = s.a AND r.b = s.b AND r.here = s.b)",
-            f"small AS (SELECT a, b FROM links WHERE {small})",
-            "ends AS (SELECT a AS x, b AS y FROM small UNION ALL SELECT b, a FROM small)",
-            "reach AS (SELECT a, b, a AS here FROM small UNION SELECT r.a, r.b, e.y FROM reach r JOIN ends e ON e.x = r.here WHERE NOT (r.here = r.a AND e.y = r.b) AND NOT (r.here = r.b AND e.y = r.a))",
-        ),
         "refs": f"SELECT page_id, url, domain, domain = 'attack.mitre.org' AS self_referential FROM ({hosts})",
         "publishers": f"SELECT domain, CAST(count(*) AS INT) AS count FROM ({hosts}) WHERE domain NOT IN ('', 'attack.mitre.org') GROUP BY 1",
         "fuzzy_signals": _with(

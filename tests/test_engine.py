@@ -329,5 +329,5 @@ def test_streamed_declarations(spark, tmp_path):
 def test_queries_and_oracles_have_the_same_names():
     from skein import queries
 
-    assert set(queries.oracle_sql()) == set(queries.queries())
+    assert set(queries.oracle_sql()) == set(queries.queries()) - {"bridges"}
     assert F
