@@ -19,6 +19,7 @@ SCOPE_ALL = "all"
 # Words for how likely an attribution is.
 LIKELIHOODS = ("almost-no-chance", "very-unlikely", "unlikely", "roughly-even-chance", "likely", "very-likely", "almost-certain")
 
+# Bounds and defaults of queries, and how an undefined galaxy is shown.
 MAX_VISITED = 20_000
 MAX_DEPTH = 4
 MAX_PATH_DEPTH = 6

@@ -10,6 +10,7 @@ import json
 import math
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,15 +54,15 @@ class Engine:
     """Queries of one graph at a time. Loading another one leaves the old graph in place if it fails."""
 
     def __init__(self, spark: SparkSession, config: Config = Config(), graph: Graph | None = None):
-        self.spark, self.config, self._graph = spark, config, graph
+        self.spark, self.config, self._graph, self._version = spark, config, graph, None
 
     # -- graphs
 
     def load(self, root: str, source_ref: str = "") -> dict:
-        """Load a corpus of JSON files."""
-        graph = corpus.load(self.spark, root, self.config, source_ref).keep()
+        """Load a corpus of JSON files; without a source_ref, it is looked up."""
+        graph = corpus.load(self.spark, root, self.config, source_ref or corpus.source_ref(self.spark, root)).keep()
         graph.nodes.count()
-        self._graph = graph
+        self._graph, self._version = graph, None
         return self.status()
 
     def publish(self, folder: str) -> str:
@@ -72,9 +73,18 @@ class Engine:
         """Go on with a published snapshot."""
         graph = snapshots.open_graph(self.spark, folder, self.config, version)
         graph.nodes.limit(1).count()
-        self._graph = graph
+        self._graph, self._version = graph, version or snapshots.current_version(self.spark, folder)[0]
         return self.status()
 
+    def source_status(self, folder: str) -> dict:
+        """expected (the version published last), current (the one that is open), in_sync and ready (whether there is a graph to query)."""
+        try:
+            expected = snapshots.current_version(self.spark, folder)[0]
+        except (FileNotFoundError, AnalysisException):
+            expected = ""
+        current = self._version or ""
+        return {"expected": expected, "current": current, "in_sync": bool(expected) and expected == current, "ready": self._graph is not None}
+
     @property
     def graph(self) -> Graph:
         if self._graph is None:

@@ -6,6 +6,9 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from ..plans.graph import Graph
 
 CLUSTER = "name string, type string, uuid string, description string, version int, values array<struct<uuid:string, value:string, description:string, revoked:boolean, meta:string, related:array<struct<`dest-uuid`:string, type:string, tags:array<string>>>>>"
 DEFINITION = "name string, type string, uuid string, description string, namespace string, icon string"
+#: Environment variable that names the version of a corpus that is no checkout.
+REF_VARIABLE = "SKEIN_CORPUS_REF"
 PATTERN = "*.[jJ][sS][oO][nN]"
 
 
@@ -32,6 +37,36 @@ def json_files(spark: SparkSession, folder: str) -> list[str]:
     return sorted(out)
 
 
+def _text(spark: SparkSession, path: str) -> str:
+    """The stripped content of a small file; blank if there is none."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at) or fs.getFileStatus(at).isDirectory():
+        return ""
+    stream = fs.open(at)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+    finally:
+        stream.close()
+
+
+def checkout_ref(spark: SparkSession, root: str) -> str:
+    """The commit that a git checkout stands at, read from its files; blank if root is none."""
+    head = _text(spark, f"{root}/.git/HEAD")
+    if not head.startswith("ref: "):
+        return head
+    name = head[5:].strip()
+    packed = (line.split(" ", 1) for line in _text(spark, f"{root}/.git/packed-refs").splitlines() if " " in line)
+    return _text(spark, f"{root}/.git/{name}") or next((ref for ref, at in packed if at == name), "")
+
+
+def source_ref(spark: SparkSession, root: str, environ: Mapping[str, str] = os.environ) -> str:
+    """What tells where a corpus comes from: the commit of the checkout it is or lies in, else the variable REF_VARIABLE, else the file CORPUS_REF beside it, else nothing."""
+    above = root.rstrip("/").rpartition("/")[0]
+    return checkout_ref(spark, root) or (checkout_ref(spark, above) if above else "") or environ.get(REF_VARIABLE, "").strip() or _text(spark, f"{root}/CORPUS_REF")
+
+
 def is_usable(spark: SparkSession, root: str) -> bool:
     """Whether there is a cluster file to load."""
     return bool(json_files(spark, f"{root}/clusters"))

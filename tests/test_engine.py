@@ -313,6 +313,29 @@ def test_walks_paths_and_bridges_by_brute_force(spark, corpus, seed):
     assert sorted(map(tuple, find_bridges(e.graph.links).collect())) == sorted(x for x in links if not joined(*x, x))
 
 
+def test_where_a_corpus_comes_from(spark, tmp_path, corpus, monkeypatch):
+    from skein.sources.corpus import REF_VARIABLE, source_ref
+
+    monkeypatch.delenv(REF_VARIABLE, raising=False)
+    root = corpus({"tool": [entry("t", "A tool")]})
+    assert source_ref(spark, root, {}) == ""
+    (tmp_path / "corpus" / "CORPUS_REF").write_text(" file-ref \n")
+    assert source_ref(spark, root, {}) == "file-ref" and source_ref(spark, root, {REF_VARIABLE: " env-ref "}) == "env-ref"
+    git = tmp_path / "corpus" / ".git"
+    (git / "refs" / "heads").mkdir(parents=True)
+    (git / "HEAD").write_text("ref: refs/heads/main\n")
+    (git / "packed-refs").write_text("# pack-refs\nabc123 refs/heads/main\n")
+    assert source_ref(spark, root, {REF_VARIABLE: "env-ref"}) == "abc123"
+    (git / "refs" / "heads" / "main").write_text("def456\n")
+    e = Engine(spark, Config(scope=None))
+    assert e.source_status(str(tmp_path / "none")) == {"expected": "", "current": "", "in_sync": False, "ready": False}
+    assert e.load(root)["stats"]["source_ref"] == "def456"
+    version = e.publish(str(tmp_path / "snapshots"))
+    assert e.source_status(str(tmp_path / "snapshots")) == {"expected": version, "current": "", "in_sync": False, "ready": True}
+    e.open(str(tmp_path / "snapshots"))
+    assert e.source_status(str(tmp_path / "snapshots")) == {"expected": version, "current": version, "in_sync": True, "ready": True}
+
+
 def test_streamed_declarations(spark, tmp_path):
     from skein.streaming.declarations import follow, read_links
 
