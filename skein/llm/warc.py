@@ -27,16 +27,19 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "record_id string, type string, concurrent_to array<string>, target_uri string, date string, refers_to string, payload_digest string, payload_bytes long, content string, payload binary"
 
 
-def _urn(kind: str, *key: Column) -> Column:
-    h = F.md5(F.concat_ws("\x1f", F.lit(kind), *[F.coalesce(k.cast("string"), F.lit("\x00")) for k in key]))
+def _hash(kind: str, *key: Column) -> Column:
+    return F.md5(F.concat_ws("\x1f", F.lit(kind), *[F.coalesce(k.cast("string"), F.lit("\x00")) for k in key]))
+
+
+def _urn(h: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), *[x for i, (a, n) in enumerate(((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) for x in ([F.lit("-")] if i else []) + [F.substring(h, a, n)]], F.lit(">"))
 
 
-def _record(kind: Column, record_id: Column, date: str, uri: Column, headers: list[Column], content_type: Column, block: Column) -> Column:
-    """One record's text without its closing blank lines; headers that are null are left out."""
+def _record(kind: Column, record_id: Column, date: str, uri: Column, headers: list[Column], content_type: Column, size: Column, *block: Column) -> Column:
+    """One record's text without its closing blank lines; headers that are null are left out. size: bytes of the block, whose parts follow."""
     lines = [F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), kind), F.concat(F.lit("WARC-Record-ID: "), record_id), F.lit(f"WARC-Date: {date}"), F.concat(F.lit("WARC-Target-URI: "), uri), *headers]
-    lines += [F.concat(F.lit("Content-Type: "), content_type), F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string"))]
-    return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF), block)
+    lines += [F.concat(F.lit("Content-Type: "), content_type), F.concat(F.lit("Content-Length: "), size.cast("string"))]
+    return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF), *block)
 
 
 def captures(pages: DataFrame, min_revisit_bytes: int = 1000) -> tuple[DataFrame, DataFrame]:
@@ -44,15 +47,17 @@ def captures(pages: DataFrame, min_revisit_bytes: int = 1000) -> tuple[DataFrame
     rows = pages.select("page_id", F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.select("*", F.sha1("html").alias("digest"), F.octet_length("html").cast("long").alias("n"))
     key = ("page_id", "url", "digest")
-    again = checkpointed(rows.groupBy(*key).count().filter("count > 1").select(*[F.col(k).alias(f"_{k}") for k in key]))
+    heads = checkpointed(rows.select(*key, "n"))
+    again = checkpointed(heads.groupBy(*key).count().filter("count > 1").select(*[F.col(k).alias(f"_{k}") for k in key]))
     if again.isEmpty():
-        rows = rows.withColumn("nth", F.lit(0).cast("long"))
+        rows, heads = (x.withColumn("nth", F.lit(0).cast("long")) for x in (rows, heads))
     else:
         same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
         # Rows alike are numbered once and kept, so that all that follows sees the same numbers.
         several = written(rows.join(again, same, "left_semi").withColumn("nth", F.monotonically_increasing_id() + 1), "alike")
         rows = rows.join(again, same, "left_anti").withColumn("nth", F.lit(0).cast("long")).unionByName(several)
-    large = rows.filter(F.col("n") >= min_revisit_bytes).select("page_id", "url", "nth", "digest")
+        heads = rows
+    large = heads.filter(F.col("n") >= min_revisit_bytes).select("page_id", "url", "nth", "digest")
     firsts = large.groupBy("digest").agg(F.max(F.struct("page_id", "url", "nth")).alias("of"), F.count("*").alias("copies")).filter("copies > 1 AND of.page_id IS NOT NULL").drop("copies")
     revisits = large.select("page_id", "digest").join(firsts, "digest").filter("page_id < of.page_id").distinct()
     return rows, revisits
@@ -77,24 +82,28 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 1000, da
     # One exchange of pages serves both the join and the spread over files.
     both = rows.repartition(parts, "page_id", "digest").join(revisits.repartition(parts, "page_id", "digest"), ["page_id", "digest"], "left")
     page, digest, uri = F.col("page_id"), F.col("digest"), F.col("url")
-    main_id, again = _urn("main", page, uri, digest, F.col("nth")), F.col("of").isNotNull()
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(CRLF + CRLF))
-    of = _urn("main", F.col("of.page_id"), F.col("of.url"), digest, F.col("of.nth"))
+    # Columns of their own, as what several records name would be made anew for each.
+    own = lambda kind: _hash(kind, page, uri, digest, F.col("nth"))
+    both = both.withColumns({"_main": own("main"), "_request": own("request"), "_metadata": own("metadata"), "_of": F.when(F.col("of").isNotNull(), _hash("main", F.col("of.page_id"), F.col("of.url"), digest, F.col("of.nth")))})
+    both = both.withColumns({k: _urn(F.col(k)) for k in ("_main", "_request", "_metadata", "_of")})
+    main_id, again = F.col("_main"), F.col("of").isNotNull()
+    both = both.withColumn("_http", F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(CRLF + CRLF)))
+    both = both.withColumn("_get", F.concat(F.lit("GET "), F.coalesce(uri, F.lit("/")), F.lit(f" HTTP/1.1{CRLF}Accept: text/html{CRLF}{CRLF}")))
+    both = both.withColumn("_named", F.coalesce(F.concat(F.lit("page_id: "), F.url_encode(page.cast("string")), F.lit(CRLF)), F.lit("")))
+    http, get, named = F.col("_http"), F.col("_get"), F.col("_named")
     main = _record(
         F.when(again, "revisit").otherwise("response"), main_id, date, uri,
-        [F.concat(F.lit("WARC-Payload-Digest: sha1:"), digest), F.when(again, F.lit(f"WARC-Profile: {PROFILE}")), F.when(again, F.concat(F.lit("WARC-Refers-To: "), of))],
-        F.lit("application/http;msgtype=response"), F.when(again, http).otherwise(F.concat(http, F.col("html"))),
+        [F.concat(F.lit("WARC-Payload-Digest: sha1:"), digest), F.when(again, F.lit(f"WARC-Profile: {PROFILE}")), F.concat(F.lit("WARC-Refers-To: "), F.col("_of"))],
+        F.lit("application/http;msgtype=response"), F.octet_length(http) + F.when(again, 0).otherwise(F.col("n")), http, F.when(again, "").otherwise(F.col("html")),
     )
     ties = [F.concat(F.lit("WARC-Concurrent-To: "), main_id)]
-    other = lambda kind: _urn(kind, page, uri, digest, F.col("nth"))
-    request = _record(F.lit("request"), other("request"), date, uri, ties, F.lit("application/http;msgtype=request"), F.concat(F.lit("GET "), F.coalesce(uri, F.lit("/")), F.lit(f" HTTP/1.1{CRLF}Accept: text/html{CRLF}{CRLF}")))
-    named = F.coalesce(F.concat(F.lit("page_id: "), F.url_encode(page.cast("string")), F.lit(CRLF)), F.lit(""))
-    metadata = _record(F.lit("metadata"), other("metadata"), date, uri, ties, F.lit("application/warc-fields"), named)
+    request = _record(F.lit("request"), F.col("_request"), date, uri, ties, F.lit("application/http;msgtype=request"), F.octet_length(get), get)
+    metadata = _record(F.lit("metadata"), F.col("_metadata"), date, uri, ties, F.lit("application/warc-fields"), F.octet_length(named), named)
     for r in sizes or [{"size": 0, "most": 0}]:
         size = F.when(F.col("n") * 64 <= file_bytes, 0).when(F.col("n") <= file_bytes, 1).otherwise(2)
         records = both.filter(size == r["size"]).select(F.explode(F.array(request, main, metadata)).alias("value"))
         most = 3 * max(1, file_bytes // (r["most"] + 1024))
-        records.write.mode("append").option("lineSep", RECORD_END).option("maxRecordsPerFile", most).option("compression", compression).text(path)
+        records.write.mode("append").option("lineSep", RECORD_END).option("maxRecordsPerFile", most).option("compression", compression).option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def parse_records(data, with_payload: bool = True):

@@ -75,3 +75,13 @@ def test_keys_of_any_type_and_files_bounded_by_bytes(spark, tmp_path):
     warc.write_archive(df, str(tmp_path / "w"), file_bytes=100_000, compression="none")
     sizes = sorted(f.stat().st_size for f in (tmp_path / "w").glob("part*"))
     assert len(sizes) > 6 and sizes[-1] < 910_000 and sizes[-2] < 130_000
+
+
+def test_records_do_not_compute_identifiers_anew(spark, tmp_path, monkeypatch):
+    """Identifiers and blocks are columns when records are put together, or each place that names them would compute them again."""
+    seen = []
+    real = warc._record
+    monkeypatch.setattr(warc, "_record", lambda *a: seen.append(real(*a)) or seen[-1])
+    assert write_and_read(spark, [(1, "http://a", "x" * 1500, "d"), (2, "http://a", "x" * 1500, "d")], str(tmp_path / "w")).count() == 6
+    assert len(seen) == 3 and all("md5" not in str(c) and "url_encode" not in str(c) for c in seen)
+    assert sum(str(c).count("html") - str(c).count("text/html") for c in seen) == 1
