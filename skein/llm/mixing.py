@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, identified, load, small, written
+from .common import WORD, checkpointed, finished, identified, load, small
 
 GOLDEN = 0.6180339887498949
 #: Words that a hash range of a source is to hold, about: what is ordered in one task.
@@ -148,7 +148,7 @@ def mix_corpus(documents: DataFrame, **options) -> DataFrame:
     made = ("size", "source_size", "target", "taken", "n_slots", "first_slot")
     others = [c for c in documents.columns if c not in made]
     rows = identified(documents.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("__others"), "doc_id", "text", "source"))
-    mixed = written(mix(rows.select("doc_id", "__row", "source", word_count(F.col("text")).alias("size")), keys=("doc_id", "__row"), **options), "mixed")
+    mixed = finished(documents.sparkSession, "mixed", lambda: mix(rows.select("doc_id", "__row", "source", word_count(F.col("text")).alias("size")), keys=("doc_id", "__row"), **options))
     mixed = mixed.select(F.col("doc_id").alias("__doc"), F.col("__row").alias("__again"), *made)
     joined = rows.join(small(mixed, F.lit(96)), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__row") == F.col("__again")))
     return joined.select(*[F.col(f"__others.`{c}`").alias(c) for c in others], *made)

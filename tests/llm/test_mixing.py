@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 from fractions import Fraction
 
@@ -6,6 +7,7 @@ import duckdb
 import pytest
 
 from skein.llm import mixing
+from skein.llm.common import scope, shared_path
 
 
 def slow_targets(sizes, weights=(5, 2, 1), most=3):
@@ -74,3 +76,10 @@ def test_no_documents(spark):
     assert mixing.mix_documents(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     void = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert sorted((r["doc_id"], r["taken"], r["target"]) for r in mixing.mix_documents(void).collect()) == [(1, 0, 0.0), (2, 0, 0.0)]
+
+
+def test_intermediate_tables_go_with_the_mix(spark):
+    docs = spark.createDataFrame([(i, "some words " * (i % 5), f"s{i % 3}") for i in range(40)], "doc_id long, text string, source string")
+    with scope(spark, "kept"):
+        assert mixing.mix_corpus(docs).count() == 40
+        assert [x.split("-")[0] for x in os.listdir(shared_path(spark, "").rsplit("/", 1)[0])] == ["mixed"]

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from skein.llm import simhash
+from skein.llm import components, simhash
+from skein.llm.common import checkpointed
 from skein.llm.components import connected_components
 
 
@@ -87,3 +88,25 @@ def test_near_duplicates_by_brute_force(spark):
 
 def test_no_documents(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_components_of_many_edges_are_those_of_few(spark, monkeypatch, few):
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 150, (90, 2))] * 2 + [(200, 201 + i) for i in range(40)]
+    monkeypatch.setattr(components, "FEW", few)
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "u long, v long").repartition(3)).collect()))
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(200):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert got == root
+
+
+def test_a_finished_forest_takes_one_round(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, i) for i in range(2, 9)] + [(20, i) for i in range(21, 25)], "u long, v long")
+    plans = []
+    monkeypatch.setattr(components, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or checkpointed(df))
+    assert connected_components(edges).filter("node <> root").count() == 11
+    assert len(plans) == 2 and "Join" not in plans[1]
