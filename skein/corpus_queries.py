@@ -23,13 +23,13 @@ from .queries import _BASE, _FOLD, _names_cte, _ranked, _reason, _score, _walk_c
 from .sources import corpus
 
 CONFIG = Config(actor_galaxies=("supplier",), scope=None)
-#: Values of a cluster file.
-FILE_VALUES = 100
+#: Values of a cluster file, and files of a folder: Spark numbers a task's files with three digits, so names of more would not sort in order.
+FILE_VALUES, FOLDER_FILES = 100, 500
 _graphs: dict[tuple[str, str], Graph] = {}
 
 
 def write_corpus(spark: SparkSession, sf_dir: str, root: str) -> None:
-    """Cluster files of nations, suppliers and parts, and one that repeats an identifier."""
+    """Cluster files of nations, suppliers and parts, and one that repeats an identifier; paths sort in the order of keys."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
     related = lambda dst, kind: F.struct(dst.alias("dest-uuid"), F.lit(kind).alias("type"), F.array(F.lit("t")).alias("tags"))
@@ -41,8 +41,10 @@ def write_corpus(spark: SparkSession, sf_dir: str, root: str) -> None:
 
     def write(df, galaxy, folder):
         files = df.groupBy(F.floor(F.col("v.key") / FILE_VALUES).alias("file")).agg(F.sort_array(F.collect_list("v")).alias("values"))  # FILE_VALUES at most
-        rows = files.orderBy("file").select(F.lit(galaxy.title()).alias("name"), F.lit(galaxy).alias("type"), F.lit(f"g-{galaxy}").alias("uuid"), F.lit(1).alias("version"), F.transform("values", lambda v: v.dropFields("key")).alias("values"))
-        rows.coalesce(1).write.option("maxRecordsPerFile", 1).option("ignoreNullFields", False).json(f"{root}/clusters/{folder}")
+        rows = files.select(F.lpad(F.floor(F.col("file") / FOLDER_FILES).cast("string"), 16, "0").alias("group"), "file", F.lit(galaxy.title()).alias("name"), F.lit(galaxy).alias("type"), F.lit(f"g-{galaxy}").alias("uuid"), F.lit(1).alias("version"), F.transform("values", lambda v: v.dropFields("key")).alias("values"))
+        # A group's files are written by one task, in order.
+        dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "group").sortWithinPartitions("group", "file").drop("file")
+        dealt.write.partitionBy("group").option("maxRecordsPerFile", 1).option("ignoreNullFields", False).json(f"{root}/clusters/{folder}")
 
     none, no, null = words(), F.lit(False), F.lit(None).cast("string")
     n, s, p = F.col("n_nationkey"), F.col("s_suppkey"), F.col("p_partkey")
