@@ -92,7 +92,7 @@ class Engine:
         return self._graph
 
     def _known(self, uuid: str) -> dict:
-        row = self.graph.nodes.filter(F.col("uuid") == uuid).select("uuid", "value", "galaxy").first()
+        row = self.graph.plain_nodes.filter(F.col("uuid") == uuid).select("uuid", "value", "galaxy").first()
         if row is None:
             raise UnknownNode(f"unknown uuid: {uuid}")
         return row.asDict()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import MAX_PATH_DEPTH
 from ..functions.folding import tag
-from ..plans.graph import Graph
+from ..plans.graph import FEW, Graph
 from ..plans.state import checkpointed
 from .traverse import mark_bridges, one, passable, start_at, step
 
@@ -21,14 +21,14 @@ def shortest_path(graph: Graph, source: str, target: str, max_depth: int = MAX_P
     the source and then from the target, up to the node where they meet.
     """
     limit = min(max_depth if max_depth > 0 else MAX_PATH_DEPTH, MAX_PATH_DEPTH)
-    edges = passable(graph.adj, "both", edge_types)
+    edges = lambda nodes, n: passable(graph, nodes, n <= FEW, "both", edge_types)
     sides = [[start_at(one(graph, source))] * 2 + [1], [start_at(one(graph, target))] * 2 + [1]]
     meet = start_at(one(graph, source)) if source == target else None
     depth = 0
     while meet is None and depth < limit and sides[0][2] and sides[1][2]:
         side = sides[0] if sides[0][2] <= sides[1][2] else sides[1]
         other = sides[1] if side is sides[0] else sides[0]
-        new = checkpointed(step(side[0], side[1], edges))
+        new = checkpointed(step(side[0], side[1], edges(side[0], side[2]), side[2]))
         side[:] = [new, side[1].unionByName(new), new.count()]
         depth += 1
         known = other[1].select("uuid").distinct()
@@ -44,11 +44,11 @@ def shortest_path(graph: Graph, source: str, target: str, max_depth: int = MAX_P
         both = fwd.join(bwd.withColumnsRenamed({"depth": "depth2", "arrival": "arrival2", "path": "path2"}), "uuid").filter(F.col("depth") + F.col("depth2") == depth)
         best = both.orderBy("arrival", "arrival2").limit(1)
         route = F.concat("path", F.slice(F.reverse("path2"), 2, 1 << 20))
-        placed = best.select(F.posexplode(route).alias("hop", "uuid"), route.alias("route")).withColumn("prev", F.when(F.col("hop") > 0, F.get("route", F.col("hop") - 1)))
+        placed = checkpointed(best).select(F.posexplode(route).alias("hop", "uuid"), route.alias("route")).withColumn("prev", F.when(F.col("hop") > 0, F.get("route", F.col("hop") - 1)))
         # Of two views of one link either has the same types and confidence.
-        ways = edges.select(F.col("src").alias("prev"), F.col("dst").alias("uuid"), "via", "confidence").groupBy("prev", "uuid").agg(F.min("via").alias("via"), F.min("confidence").alias("confidence"))
+        ways = edges(placed.select("uuid"), 1).select(F.col("src").alias("prev"), F.col("dst").alias("uuid"), "via", "confidence").groupBy("prev", "uuid").agg(F.min("via").alias("via"), F.min("confidence").alias("confidence"))
         hops = placed.join(ways, ["prev", "uuid"], "left").select("hop", "uuid", F.coalesce("via", F.lit("")).alias("via"), F.coalesce("confidence", F.lit(0)).alias("confidence"), "prev")
-    rows = hops.join(graph.node_columns(), "uuid")
+    rows = graph.node_columns().join(F.broadcast(hops), "uuid")  # no more than a path's nodes
     out = ["hop", "uuid", tag(graph.config.namespace, F.col("galaxy"), F.col("value")).alias("tag"), "value", "galaxy", "via", "confidence"]
     if with_bridges:
         rows = mark_bridges(graph, rows, "prev", "uuid")

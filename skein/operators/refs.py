@@ -23,7 +23,7 @@ def references_of(rows: DataFrame, key: str, urls: str) -> DataFrame:
 
 def references(graph: Graph, uuid: str | None = None) -> DataFrame:
     """References of one entry, or of all."""
-    nodes = graph.nodes.filter(F.col("meta").isNotNull())
+    nodes = graph.plain_nodes.filter(F.col("meta").isNotNull())
     if uuid is not None:
         nodes = nodes.filter(F.col("uuid") == uuid)
     meta = F.col("meta")

@@ -51,9 +51,9 @@ def resolve(graph: Graph, query: str, galaxies: list[str] | None = None, limit:
     """Entries whose name or synonym is, starts with or contains the query, best first."""
     mode = parse_mode(mode)
     key = folded(query, mode, graph)
-    index = graph.name_index.filter(F.col("mode") == mode)
+    index = graph.index(mode)
     hits = index.filter(F.col("key").contains(F.lit(key)) & F.lit(key != "")).withColumn("q_key", F.lit(key))
-    return _candidates(graph, hits.drop("mode"), galaxies, limit, [])
+    return _candidates(graph, hits, galaxies, limit, [])
 
 
 def _grams(key: Column, size: Column) -> Column:
@@ -69,7 +69,7 @@ def resolve_batch(graph: Graph, queries: DataFrame, galaxies: list[str] | None =
     mode = parse_mode(mode)
     asked = queries.select("query_id", fold_by(mode, F.col("query")).alias("q_key")).filter("q_key <> ''")
     asked = asked.withColumn("size", F.least(F.char_length("q_key"), F.lit(3))).withColumn("gram", F.substr("q_key", F.lit(1), F.col("size")))
-    index = graph.name_index.filter(F.col("mode") == mode).drop("mode")
+    index = graph.index(mode)
     sizes = F.explode(F.sequence(F.lit(1), F.least(F.char_length("key"), F.lit(3))))
     grams = index.withColumn("size", sizes).withColumn("gram", F.explode(F.array_distinct(_grams(F.col("key"), F.col("size")))))
     hits = grams.join(asked, ["size", "gram"]).filter(F.col("key").contains(F.col("q_key"))).drop("size", "gram")
@@ -85,4 +85,4 @@ def group_by_galaxy(candidates: DataFrame) -> DataFrame:
 
 def has_galaxy(graph: Graph, name: str) -> bool:
     """Whether a galaxy of this name, whatever its case, has an entry."""
-    return not graph.nodes.filter("NOT dangling").filter(F.lower("galaxy") == name.lower()).limit(1).isEmpty()
+    return not graph.plain_nodes.filter("NOT dangling").filter(F.lower("galaxy") == name.lower()).limit(1).isEmpty()

@@ -4,8 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein import corpus_queries
+from skein.operators import analytics, paths, traverse
+from skein.plans.graph import Graph
 from skein.sources import corpus as corpus_source
 
+from .conftest import entry
+
 
 def tables(spark, folder, parts, suppliers=3):
     """Star-schema tables of one nation, with as many parts and suppliers."""
@@ -26,3 +30,34 @@ def test_corpus_files_of_a_thousand_and_more_sort_in_the_order_of_their_keys(spa
     entries = corpus_source.load(spark, str(tmp_path / "corpus"), corpus_queries.CONFIG).entries
     got = [r["uuid"] for r in entries.filter("galaxy = 'part'").orderBy("ord").collect()]
     assert got == [f"part:{k}" for k in range(1100)]
+
+
+def two_actors(corpus):
+    actors = [entry("a1", "One", ("t1", "uses"), ("t2", "uses")), entry("a2", "Two", ("t1", "uses"))]
+    tools = [entry(f"t{k}", f"Tool {k}", *([("t1", "similar")] if k > 1 else [])) for k in range(1, 5)]
+    return corpus({"threat-actor": actors, "tool": tools})
+
+
+def test_what_is_asked_of_some_nodes_derives_no_edges_of_all(spark, corpus, monkeypatch):
+    whole = corpus_source.load(spark, two_actors(corpus))
+    want = sorted(tuple(r) for r in whole.adj.filter("src IN ('t1', 'a2')").drop("dst_group_count").collect())
+    for name in ("adj", "_pairs"):
+        monkeypatch.setattr(Graph, name, property(lambda self: pytest.fail("all edges")))
+    graph = corpus_source.load(spark, two_actors(lambda g: corpus(g, name="again"))).keep()
+    nodes = spark.createDataFrame([("t1",), ("a2",), ("nobody",)], "node string")
+    for few in (True, False):
+        assert sorted(tuple(r) for r in graph.adj_of(nodes, few).collect()) == want
+    assert {r["first_type"]: r["n"] for r in analytics.relations_by_type(graph, "t1").collect()} == {"uses": 2, "similar": 3}
+    assert [(r["uuid"], r["group_count"]) for r in traverse.neighbours(graph, "a2", traverse.Walk(depth=2)).orderBy("rank").collect()] == [("t1", 2), ("a1", 0), ("t2", 1), ("t3", 0), ("t4", 0)]
+    assert [r["uuid"] for r in paths.shortest_path(graph, "a2", "t4").collect()] == ["a2", "t1", "t4"]
+    assert [(r["uuid"], r["group_count"]) for r in analytics.most_generic(graph).collect()] == [("t1", 2), ("t2", 1)]
+    assert analytics.compare_summary(graph, "a1", "a2").first()["shared_count"] == 1
+    assert graph.thresholds.count() == 0
+
+
+def test_a_walk_that_has_met_its_cap_goes_no_further(spark, corpus, monkeypatch):
+    graph = corpus_source.load(spark, two_actors(corpus)).keep()
+    steps, step = [], traverse.step
+    monkeypatch.setattr(traverse, "step", lambda *a: steps.append(1) or step(*a))
+    got = traverse.walk(graph, traverse.one(graph, "t1"), traverse.Walk(depth=3, max_visited=4)).select("uuid").collect()
+    assert sorted(r[0] for r in got) == ["a1", "a2", "t2", "t3", "t4"] and len(steps) == 1
