@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein import corpus_queries
-from skein.operators import analytics, paths, traverse
+from skein.operators import analytics, bridges, fuzzy, paths, traverse
+from skein.operators.components import components
 from skein.plans.graph import Graph
 from skein.sources import corpus as corpus_source
 
@@ -61,3 +62,34 @@ def test_a_walk_that_has_met_its_cap_goes_no_further(spark, corpus, monkeypatch)
     monkeypatch.setattr(traverse, "step", lambda *a: steps.append(1) or step(*a))
     got = traverse.walk(graph, traverse.one(graph, "t1"), traverse.Walk(depth=3, max_visited=4)).select("uuid").collect()
     assert sorted(r[0] for r in got) == ["a1", "a2", "t2", "t3", "t4"] and len(steps) == 1
+
+
+def test_bridges_seek_components_only_off_the_first_tree(spark, monkeypatch):
+    sought = []
+    monkeypatch.setattr(bridges, "components", lambda left: sought.append(left.count()) or components(left))
+    ring = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("c", "d")]
+    find = lambda links: sorted(map(tuple, bridges.find_bridges(spark.createDataFrame(links, "a string, b string")).collect()))
+    assert find(ring) == [("c", "d")] and not sought
+    assert find([*ring, ("p", "q"), ("x", "y"), ("y", "z"), ("x", "z")]) == [("c", "d"), ("p", "q")] and sought == [4]
+    assert bridges.find_bridges(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_a_corpus_is_parsed_once(spark, corpus):
+    graph = corpus_source.load(spark, two_actors(corpus)).keep()
+    assert graph.source.storageLevel.useDisk
+    assert graph.links.count() == 6 and graph.plain_nodes.count() == 6
+
+
+def test_near_names_of_one_length_do_not_meet_in_one_task(spark, corpus, monkeypatch):
+    graph = corpus_source.load(spark, two_actors(corpus)).keep()
+    asked = spark.createDataFrame([(0, "Tool 9")], "query_id int, query string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = fuzzy.near_pairs(graph, asked)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [length" in plan and "SortMergeJoin [length" not in plan
+        got = sorted(r["matched"] for r in pairs.collect())
+        monkeypatch.setattr(fuzzy, "FEW", 0)
+        assert sorted(r["matched"] for r in fuzzy.near_pairs(graph, asked).collect()) == got == ["One", "Tool 1", "Tool 2", "Tool 3", "Tool 4", "Two"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
