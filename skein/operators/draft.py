@@ -31,7 +31,7 @@ class Draft:
 def exact_collisions(graph: Graph, names: DataFrame) -> DataFrame:
     """name, uuid, tag, value, galaxy, matched_via: entries in any galaxy that bear one of names (name) already."""
     keyed = names.select("name", fold(F.col("name")).alias("key")).filter("key <> ''")
-    hits = graph.name_index.filter(F.col("mode") == STANDARD).join(keyed, "key").select("name", "uuid", F.col("matched").alias("matched_via"))
+    hits = graph.index(STANDARD, keyed.select(F.char_length("key").alias("length"))).join(keyed, "key").select("name", "uuid", F.col("matched").alias("matched_via"))
     rows = hits.join(graph.node_columns(), "uuid")
     return rows.select("name", "uuid", tag(graph.config.namespace, F.col("galaxy"), F.col("value")).alias("tag"), "value", "galaxy", "matched_via")
 
@@ -65,7 +65,7 @@ def draft(graph: Graph, wish: Draft) -> dict:
 
 
 def _relation(graph: Graph, used_by: str, confidence: str) -> dict:
-    target = graph.nodes.filter(F.col("uuid") == used_by).select("dangling", "is_actor", "galaxy").first()
+    target = graph.plain_nodes.filter(F.col("uuid") == used_by).select("dangling", "is_actor", "galaxy").first()
     if target is None:
         raise ValueError(f"no entry with uuid {used_by} to link to")
     if target["dangling"]:

@@ -9,6 +9,8 @@ from ..functions import similarity as sim
 from ..functions.folding import STANDARD, cleaned, fold, tag
 from ..plans.graph import Graph
 
+#: Queries that a join may send to every task, each once for every length in reach.
+FEW = 10_000
 #: Members of meta in which two entries that are one would agree.
 DISCRIMINATORS = ("country",)
 
@@ -45,19 +47,19 @@ def meta_string(meta: Column, name: str) -> Column:
     return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
-def _matches(graph: Graph, pairs: DataFrame, galaxies: list[str] | None, threshold: float, limit: int) -> DataFrame:
+def _matches(graph: Graph, queries: DataFrame, pairs: DataFrame, galaxies: list[str] | None, threshold: float, limit: int) -> DataFrame:
     kept = cleaned(galaxies)
-    nodes = graph.nodes.filter("NOT dangling")
+    nodes = graph.plain_nodes.filter("NOT dangling")
     if kept:
         nodes = nodes.filter(F.lower("galaxy").isin(*kept))
     rows = with_signals(pairs, threshold).filter(F.col("similarity") >= threshold).join(nodes.select("uuid", "value", "galaxy", "meta"), "uuid")
     best = F.row_number().over(Window.partitionBy("query_id", "uuid").orderBy(F.col("similarity").desc(), "name_pos", "key"))
     rows = rows.withColumn("best", best).filter("best = 1").drop("best")
     # A query that is the name of exactly one entry, in any galaxy, stands for that entry.
-    standard = graph.name_index.filter(F.col("mode") == STANDARD)
-    keys = pairs.select("query_id", "q_key").distinct()
+    keys = queries.select("query_id", fold(F.col("query")).alias("q_key")).filter("q_key <> ''").distinct()
+    standard = graph.index(STANDARD, keys.select(F.char_length("q_key").alias("length")))
     alone = standard.join(keys, F.col("key") == F.col("q_key")).groupBy("query_id").agg(F.min("uuid").alias("self"), F.count("*").alias("n")).filter("n = 1")
-    mine = alone.join(graph.nodes.select(F.col("uuid").alias("self"), F.col("meta").alias("self_meta")), "self").select(F.col("query_id").alias("own_id"), "self", "self_meta")
+    mine = alone.join(graph.plain_nodes.select(F.col("uuid").alias("self"), F.col("meta").alias("self_meta")), "self").select(F.col("query_id").alias("own_id"), "self", "self_meta")
     rows = rows.join(mine, F.col("query_id") == F.col("own_id"), "left")
     reason = F.lit(None).cast("string")
     for name in reversed(DISCRIMINATORS):
@@ -79,15 +81,17 @@ def near_pairs(graph: Graph, queries: DataFrame) -> DataFrame:
     gap = sim.MAX_LENGTH_GAP
     asked = queries.select("query_id", "query", fold(F.col("query")).alias("q_key")).filter("q_key <> ''")
     n = F.char_length("q_key")
+    few = asked.limit(FEW + 1).count() <= FEW
     asked = asked.withColumn("length", F.explode(F.sequence(F.greatest(n - gap, F.lit(1)), n + gap)))
-    index = graph.name_index.filter(F.col("mode") == STANDARD).drop("mode").withColumn("length", F.char_length("key"))
-    return index.join(asked, "length").filter("key <> q_key").drop("length")
+    index = graph.index(STANDARD, asked).withColumn("length", F.char_length("key"))
+    # Most names may be of one length, so few queries go to every task instead of a length to one.
+    return index.join(F.broadcast(asked) if few else asked, "length").filter("key <> q_key").drop("length")
 
 
 def fuzzy_batch(graph: Graph, queries: DataFrame, galaxies: list[str] | None = None, min_similarity: float = sim.FUZZY_THRESHOLD, limit: int = 20) -> DataFrame:
     """Near names of every row of queries (query_id, query)."""
     pairs = near_pairs(graph, queries)
-    return _matches(graph, pairs, galaxies, min_similarity, limit)
+    return _matches(graph, queries, pairs, galaxies, min_similarity, limit)
 
 
 def fuzzy(graph: Graph, query: str, galaxies: list[str] | None = None, min_similarity: float = sim.FUZZY_THRESHOLD, limit: int = 20) -> DataFrame:
