@@ -7,7 +7,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,17 +24,20 @@ PATTERN = "*.[jJ][sS][oO][nN]"
 
 def json_files(spark: SparkSession, folder: str) -> list[str]:
     """Paths of the JSON files below a folder, sorted; none if there is no such folder."""
+    return sorted(_json_files(spark, folder))
+
+
+def _json_files(spark: SparkSession, folder: str) -> Iterator[str]:
     jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(folder)
     fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(top):
-        return []
-    files, out = fs.listFiles(top, True), []
+        return
+    files = fs.listFiles(top, True)
     while files.hasNext():
         path = files.next().getPath().toString()
         if path.lower().endswith(".json"):
-            out.append(path)
-    return sorted(out)
+            yield path
 
 
 def _text(spark: SparkSession, path: str) -> str:
@@ -69,7 +72,7 @@ def source_ref(spark: SparkSession, root: str, environ: Mapping[str, str] = os.e
 
 def is_usable(spark: SparkSession, root: str) -> bool:
     """Whether there is a cluster file to load."""
-    return bool(json_files(spark, f"{root}/clusters"))
+    return next(_json_files(spark, f"{root}/clusters"), None) is not None
 
 
 def count_clusters(spark: SparkSession, root: str) -> int:
@@ -115,7 +118,9 @@ def load(spark: SparkSession, root: str, config: Config = Config(), source_ref:
     entries = first.select("uuid", "v.value", "galaxy", F.coalesce("v.description", F.lit("")).alias("description"), F.coalesce(string_list(F.col("v.meta"), "synonyms"), F.array().cast("array<string>")).alias("synonyms"), "v.meta", F.coalesce("v.revoked", F.lit(False)).alias("revoked"), "synthetic", "ord")
     related = first.select(F.col("uuid").alias("src"), "ord", F.posexplode("v.related").alias("rel_pos", "r"))
     declarations = related.select("src", F.col("r.dest-uuid").alias("dst"), F.coalesce("r.type", F.lit("")).alias("type"), F.struct("ord", "rel_pos").alias("seq"))
-    return Graph(entries, declarations, galaxy_info(spark, root, files), config, source_ref)
+    graph = Graph(entries, declarations, galaxy_info(spark, root, files), config, source_ref)
+    graph.source = first
+    return graph
 
 
 def galaxy_info(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
